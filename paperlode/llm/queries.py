@@ -6,13 +6,23 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlode.llm import leaks, spam, tokens, vectors
+from paperlode.llm import leaks, spam, splitting, tokens, vectors
 from paperlode.tables import table
 
 #: Folder of the public vocabularies.
 TOKENIZERS = os.environ.get("PAPERLODE_TOKENIZERS", "/opt/tokenizers")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks over their limit."""
+    return splitting.oversized(table(spark, d, "chunks")).select("chunk_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of the chunks over their limit."""
+    return splitting.pieces(table(spark, d, "chunks"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of vectors of which one is among the five most similar to the other."""
     return vectors.pairs(vectors.nearest(table(spark, d, "vector_store", "vec_id", "embedding"), k=5))
@@ -48,5 +58,5 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.scored(table(spark, d, "documents", "doc_id", "text", "lang")).select("doc_id", "lang", *spam.FEATURES, "stuffed_page")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_hits, p7_ids, p8_found, p8_passages, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_hits, p7_ids, p8_found, p8_passages, p9_found, p9_scores)}
 ORACLES: dict[str, str] = {}
