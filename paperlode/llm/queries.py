@@ -6,13 +6,23 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlode.llm import leaks, spam, splitting, tokens, vectors
+from paperlode.llm import leaks, pii, spam, splitting, tokens, vectors
 from paperlode.tables import table
 
 #: Folder of the public vocabularies.
 TOKENIZERS = os.environ.get("PAPERLODE_TOKENIZERS", "/opt/tokenizers")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal information in the texts of chunks and lines."""
+    return pii.found(table(spark, d, "chunks"), table(spark, d, "doc_lines"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The same texts with typed placeholders."""
+    return pii.redacted(table(spark, d, "chunks"), table(spark, d, "doc_lines"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Chunks over their limit."""
     return splitting.oversized(table(spark, d, "chunks")).select("chunk_id").distinct()
@@ -58,5 +68,5 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.scored(table(spark, d, "documents", "doc_id", "text", "lang")).select("doc_id", "lang", *spam.FEATURES, "stuffed_page")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_hits, p7_ids, p8_found, p8_passages, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_hits, p7_ids, p8_found, p8_passages, p9_found, p9_scores)}
 ORACLES: dict[str, str] = {}
