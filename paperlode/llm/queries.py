@@ -6,13 +6,23 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperlode.llm import leaks, pii, spam, splitting, tokens, vectors
+from paperlode.llm import leaks, pii, scans, spam, splitting, tokens, vectors
 from paperlode.tables import table
 
 #: Folder of the public vocabularies.
 TOKENIZERS = os.environ.get("PAPERLODE_TOKENIZERS", "/opt/tokenizers")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """What is repaired in the pages: broken and misread words, running headers and page numbers."""
+    return scans.repairs(table(spark, d, "pages_in"), table(spark, d, "shard_results"))
+
+
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired text as paragraphs."""
+    return scans.paragraphs(table(spark, d, "pages_in"), table(spark, d, "shard_results"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Personal information in the texts of chunks and lines."""
     return pii.found(table(spark, d, "chunks"), table(spark, d, "doc_lines"))
@@ -68,5 +78,5 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.scored(table(spark, d, "documents", "doc_id", "text", "lang")).select("doc_id", "lang", *spam.FEATURES, "stuffed_page")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_hits, p7_ids, p8_found, p8_passages, p9_found, p9_scores)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_paragraphs, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_hits, p7_ids, p8_found, p8_passages, p9_found, p9_scores)}
 ORACLES: dict[str, str] = {}
