@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from paperlode.plans import cleaning
+from paperlode.plans import cleaning, statements
 
-QUERIES = {**cleaning.QUERIES}
-ORACLES = {**cleaning.ORACLES}
+_MODULES = (cleaning, statements)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 FLAGSHIP = "p1_found"
