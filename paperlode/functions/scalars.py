@@ -40,19 +40,24 @@ def squash(text: Column | str) -> Column:
 def inr(amount: Column | str) -> Column:
     """Money in Indian grouping (last three digits, then twos); ``.00`` is dropped, null stays null."""
     a = _c(amount).cast(MONEY)
-    text = F.abs(a).cast("string")
-    whole, cents = F.substring_index(text, ".", 1), F.substring_index(text, ".", -1)
-    grouped = F.regexp_replace(whole, r"(?<=\d)(?=(\d{2})*\d{3}$)", ",")
-    return F.concat(F.when(a < 0, "-").otherwise(""), grouped, F.when(cents == "00", "").otherwise(F.concat(F.lit("."), cents)))
+
+    def grouped(text: Column) -> Column:
+        whole = F.regexp_replace(F.regexp_extract(text, r"\d+", 0), r"(?<=\d)(?=(\d{2})*\d{3}$)", ",")
+        return F.concat(F.regexp_extract(text, "^-", 0), whole, F.regexp_replace(F.right(text, F.lit(3)), r"\.00$", ""))
+
+    return let(a.cast("string"), grouped)
 
 
 def parse_amount(text: Column | str) -> Column:
     """A printed amount; parentheses, a leading minus or a trailing Dr make it negative. Null if it is none."""
-    t = F.replace(F.trim(_c(text)), F.lit(" "), F.lit(""))
-    negative = (t.startswith("(") & t.endswith(")")) | t.startswith("-") | F.upper(t).endswith("DR")
-    bare = F.replace(F.btrim(F.regexp_replace(t, r"(?i)(cr|dr)$", ""), F.lit("()-")), F.lit(","), F.lit(""))
-    value = F.when(bare.rlike(r"^(\d+\.?\d*|\.\d+)$"), bare.try_cast(MONEY))
-    return F.when(negative, -value).otherwise(value)
+    squeezed = F.replace(F.trim(_c(text)), F.lit(" "), F.lit(""))
+
+    def value(t: Column) -> Column:
+        bare = F.replace(F.btrim(F.regexp_replace(t, r"(?i)(cr|dr)$", ""), F.lit("()-")), F.lit(","), F.lit(""))
+        sign = F.when(t.rlike(r"^\(.*\)$|^-|[dD][rR]$"), -1).otherwise(1)
+        return (sign * let(bare, lambda b: F.when(b.rlike(r"^(\d+\.?\d*|\.\d+)$"), b.try_cast(MONEY)))).cast(MONEY)
+
+    return let(squeezed, value)
 
 
 def signed(cell: Column | str) -> Column:

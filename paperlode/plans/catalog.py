@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from paperlode.plans import cleaning, statements
+from paperlode.plans import cleaning, documents, statements
 
-_MODULES = (cleaning, statements)
+_MODULES = (cleaning, statements, documents)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 FLAGSHIP = "p1_found"
