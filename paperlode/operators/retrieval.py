@@ -28,7 +28,11 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: fl
     The only shuffle is of one row of statistics: term counts are arrays beside each row, so nothing is exploded.
     """
     terms = sorted(set(_words(query)))
-    d = docs.select(key, keywords(F.coalesce(text, F.lit(""))).alias("t")).select(key, F.size("t").alias("len"), *(F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(terms)))
+
+    def times(word: str) -> Column:
+        return F.size(F.filter("t", lambda x: x == word))
+
+    d = docs.select(key, keywords(F.coalesce(text, F.lit(""))).alias("t")).select(key, F.size("t").alias("len"), *(times(w).alias(f"tf{i}") for i, w in enumerate(terms)))
     if not terms:
         return d.select(key, F.lit(0.0).alias("bm25"))
     stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))

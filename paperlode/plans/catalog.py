@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from paperlode.plans import cleaning, documents, statements
+from paperlode.plans import cleaning, documents, search, statements
 
-_MODULES = (cleaning, statements, documents)
+_MODULES = (cleaning, statements, documents, search)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "bm25_topk"
