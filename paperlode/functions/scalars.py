@@ -14,6 +14,7 @@ STOP_WORDS = (
 ).split()
 # The pattern of a keyword, of a number in running text and of a citation mark.
 KEYWORD = r"[a-z0-9]+(?:[.,][0-9]+)*"
+_KEPT = rf"(?<![a-z0-9])(?!(?:{'|'.join(STOP_WORDS)})(?![a-z0-9]|[.,][0-9])){KEYWORD}"
 NUMBER = r"\(?-?[$€£₹¥]?\s?\d[\d,]*(?:\.\d+)?\)?%?"
 CITATION = r"\[\d+(?:\s*[,\-–]\s*\d+)*\]"
 MONEY = "decimal(18,2)"
@@ -78,9 +79,8 @@ def number_value(token: Column | str) -> Column:
 
 
 def number_tokens(text: Column | str) -> Column:
-    """All number tokens of a text in order, citation marks left out."""
-    bare = F.regexp_replace(_c(text), CITATION, " ")
-    return F.transform(F.regexp_extract_all(bare, F.lit(NUMBER), 0), lambda x: F.rtrim(F.trim(x), F.lit(",")))
+    """All number tokens of a text in order as they stand (blanks and a last comma may adjoin), citation marks left out."""
+    return F.regexp_extract_all(F.regexp_replace(_c(text), CITATION, " "), F.lit(NUMBER), 0)
 
 
 def _ymd(y: Column, m: Column, d: Column) -> Column:
@@ -119,8 +119,9 @@ def est_tokens(text: Column | str) -> Column:
 
 
 def keywords(text: Column | str) -> Column:
-    """Lower-case keywords; digits joined by dots or commas stay together, stop words go."""
-    return F.filter(F.regexp_extract_all(F.lower(_c(text)), F.lit(KEYWORD), 0), lambda t: ~t.isin(STOP_WORDS))
+    """Lower-case keywords; digits joined by dots or commas stay together, stop words go (inside the pattern, so that
+    no lambda runs)."""
+    return F.regexp_extract_all(F.lower(_c(text)), F.lit(_KEPT), 0)
 
 
 def garbage_ratio(text: Column | str) -> Column:

@@ -124,27 +124,25 @@ def transactions(sl: DataFrame, as_of: date = date(2025, 12, 31)) -> DataFrame:
     within 45 days of the section's period (without one, from 2000 to the end of the year after ``as_of``). ``seq``
     orders rows by time; rows of a day keep their order, turned round where the statement runs newest first.
     """
-    rows = sl.where(F.col("cells").isNotNull()).withColumn("own", header_columns(F.col("cells")))
     order = Window.partitionBy("doc_id", "account_number").orderBy("line_no")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     at = lambda k: F.when(F.col(f"h.{k}").isNotNull(), F.try_element_at("cells", F.col(f"h.{k}")))
-    read = (
-        rows.withColumn("h", F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .where(F.col("own").isNull() & (F.size("cells") == F.col("h.width")))
-        .select("doc_id", "account_number", "line_no", parse_date(at("date")).alias("tx_date"), parse_amount(at("debit")).alias("debit"), parse_amount(at("credit")).alias("credit"), parse_amount(at("balance")).alias("balance"), F.coalesce(F.substring(at("narration"), 1, 80), F.lit("")).alias("narration"))
-        .where(F.col("tx_date").isNotNull() & F.col("balance").isNotNull())
-    )
-    bounds = periods(sl)
-    kept = (
-        read.join(bounds.select("doc_id", "account_number", "lo", "hi"), ["doc_id", "account_number"], "left")
-        .withColumn("known", F.col("lo").isNotNull() & F.col("hi").isNotNull())
-        .where(
-            F.when(F.col("known"), F.col("tx_date").between(F.date_sub("lo", 45), F.date_add("hi", 45))).otherwise(
-                F.col("tx_date").between(F.lit(date(2000, 1, 1)), F.lit(date(as_of.year + 1, 12, 31)))
-            )
-        )
-        .drop("lo", "hi", "known")
+    printed = F.when(F.col("text").rlike(PERIOD_FIRST), F.struct(parse_date(F.regexp_extract("text", PERIOD_FIRST, 1)).alias("lo"), parse_date(F.regexp_extract("text", PERIOD_FIRST, 2)).alias("hi")))
+    # the first period and the last header come from one sort of the section's lines
+    rows = (
+        sl.select("doc_id", "account_number", "line_no", "cells", F.when(F.col("cells").isNotNull(), header_columns(F.col("cells"))).alias("own"), printed.alias("printed"))
+        .where(F.col("cells").isNotNull() | F.col("printed").isNotNull())
+        .withColumn("h", F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("period", F.first("printed", ignorenulls=True).over(whole))
+        .where(F.col("cells").isNotNull() & F.col("own").isNull() & (F.size("cells") == F.col("h.width")))
     )
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    read = rows.select("doc_id", "account_number", "line_no", "period", parse_date(at("date")).alias("tx_date"), parse_amount(at("debit")).alias("debit"), parse_amount(at("credit")).alias("credit"), parse_amount(at("balance")).alias("balance"), F.coalesce(F.substring(at("narration"), 1, 80), F.lit("")).alias("narration"))
+    lo, hi = F.col("period.lo"), F.col("period.hi")
+    kept = read.where(F.col("tx_date").isNotNull() & F.col("balance").isNotNull()).where(
+        F.when(lo.isNotNull() & hi.isNotNull(), F.col("tx_date").between(F.date_sub(lo, 45), F.date_add(hi, 45))).otherwise(
+            F.col("tx_date").between(F.lit(date(2000, 1, 1)), F.lit(date(as_of.year + 1, 12, 31)))
+        )
+    ).drop("period")
     turned = F.first("tx_date").over(whole) > F.last("tx_date").over(whole)
     key = F.when(turned, -F.col("line_no")).otherwise(F.col("line_no"))
     return kept.withColumn("key", key).withColumn("seq", F.row_number().over(Window.partitionBy("doc_id", "account_number").orderBy("tx_date", "key"))).drop("key")
@@ -159,11 +157,12 @@ def totals(tx: DataFrame) -> DataFrame:
     )
 
 
-def largest(tx: DataFrame, kind: str, n: int = 3) -> DataFrame:
-    """The n largest debits or credits of every account, ties in order of time: rank, tx_date, amount, narration."""
-    w = Window.partitionBy("doc_id", "account_number").orderBy(F.abs(kind).desc(), "seq")
-    rows = tx.where(F.col(kind).isNotNull() & (F.col(kind) != 0))
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("doc_id", "account_number", "rank", "tx_date", F.abs(kind).alias("amount"), "narration")
+def largest(tx: DataFrame, n: int = 3) -> DataFrame:
+    """The n largest debits and credits of every account, ties in order of time: kind, rank, tx_date, amount, narration."""
+    each = tx.select("doc_id", "account_number", "seq", "tx_date", "narration", F.explode(F.array(F.struct(F.lit("debit").alias("kind"), F.abs("debit").alias("amount")), F.struct(F.lit("credit").alias("kind"), F.abs("credit").alias("amount")))).alias("x"))
+    rows = each.select("doc_id", "account_number", "seq", "tx_date", "narration", "x.kind", "x.amount").where(F.col("amount") != 0)
+    w = Window.partitionBy("doc_id", "account_number", "kind").orderBy(F.desc("amount"), "seq")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("doc_id", "account_number", "kind", "rank", "tx_date", "amount", "narration")
 
 
 def row_check(tx: DataFrame) -> DataFrame:
@@ -258,11 +257,14 @@ def statement_facts(lines: DataFrame, as_of: date = date(2025, 12, 31)) -> DataF
     tx = checkpoint(transactions(sl, as_of))
     keys = ["doc_id", "account_number"]
 
-    def top(kind: str) -> DataFrame:
-        return largest(tx, kind).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tx_date", "amount", "narration"))), lambda x: F.struct(x["tx_date"], x["amount"], x["narration"])).alias(f"largest_{kind}s"))
+    def top(kind: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "tx_date", "amount", "narration"))))
+        return F.transform(rows, lambda x: F.struct(x["tx_date"], x["amount"], x["narration"])).alias(f"largest_{kind}s")
+
+    tops = largest(tx).groupBy(*keys).agg(top("debit"), top("credit"))
 
     out = parts
-    for side in (banks(sl), holders(sl), periods(sl).drop("lo", "hi"), totals(tx), row_check(tx).select(*keys, "row_check"), printed_summary(sl), top("debit"), top("credit")):
+    for side in (banks(sl), holders(sl), periods(sl).drop("lo", "hi"), totals(tx), row_check(tx).select(*keys, "row_check"), printed_summary(sl), tops):
         out = out.join(side, keys, "left")
     differs = lambda k: F.when((F.col("statement_summary")[k] != inr(k)), F.lit(k.replace("_", " ")))
     names = F.filter(F.array(*(differs(k) for k in ("closing_balance", "total_debits", "total_credits"))), lambda x: x.isNotNull())

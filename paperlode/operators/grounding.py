@@ -10,7 +10,8 @@ from paperlode.functions.scalars import number_tokens, number_value
 
 def numbers(texts: DataFrame, key: str, text: str) -> DataFrame:
     """H9: distinct values of the numbers of each text with the first form and place: key, value, raw, pos."""
-    d = texts.select(key, F.posexplode(number_tokens(F.coalesce(text, F.lit("")))).alias("pos", "raw")).withColumn("value", number_value("raw")).where("value is not null")
+    found = texts.select(key, F.posexplode(number_tokens(F.coalesce(text, F.lit("")))).alias("pos", "raw"))
+    d = found.withColumn("raw", F.rtrim(F.trim("raw"), F.lit(","))).withColumn("value", number_value("raw")).where("value is not null")
     return d.groupBy(key, "value").agg(F.min(F.struct("pos", "raw")).alias("x")).select(key, "value", "x.raw", "x.pos")
 
 

@@ -30,7 +30,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: fl
     terms = sorted(set(_words(query)))
 
     def times(word: str) -> Column:
-        return F.size(F.filter("t", lambda x: x == word))
+        return F.size("t") - F.size(F.array_remove("t", word))
 
     d = docs.select(key, keywords(F.coalesce(text, F.lit(""))).alias("t")).select(key, F.size("t").alias("len"), *(times(w).alias(f"tf{i}") for i, w in enumerate(terms)))
     if not terms:
@@ -94,20 +94,21 @@ def embed_query(query: str) -> list[float]:
     return [c / n for c in counts]
 
 
-def sparse_similarity(text: Column, query: str) -> Column:
-    """Cosine of the stand-in embeddings of a text and a query, without writing out 256 places."""
-    q = {i: v for i, v in enumerate(embed_query(query)) if v}
-    words = keywords(F.coalesce(text, F.lit("")))
-    slots = F.transform(words, lambda w: F.conv(F.right(F.md5(w.cast("binary")), F.lit(2)), 16, 10).cast("int"))
+def sparse_similarity(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
+    """``key`` and the cosine of the stand-in embeddings of each text and a query; texts without keywords are left out.
 
-    def both(s: Column) -> Column:
-        count = lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double")
-        dot = sum((count(i) * v for i, v in sorted(q.items())), F.lit(0.0))
-        runs = F.transform(F.array_distinct(s), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double"))
-        norm = F.sqrt(F.aggregate(runs, F.lit(0.0), lambda a, x: a + x * x))
-        return F.when(norm > 0, dot / norm).otherwise(0.0)
-
-    return let(slots, both)
+    Keywords are counted by slot before the shuffle, which carries at most 256 counts a text.
+    """
+    q = {i: v for i, v in enumerate(embed_query(query)) if v}
+    digest = F.md5(F.col("w").cast("binary"))
+    digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring(digest, at, 1)) - 1
+    slots = docs.select(key, F.explode(keywords(F.coalesce(text, F.lit("")))).alias("w")).select(key, (digit(31) * 16 + digit(32)).alias("slot"))
+    counts = slots.groupBy(key, "slot").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    weight = F.lit(0.0)
+    for i, v in sorted(q.items()):
+        weight = F.when(F.col("slot") == i, F.lit(v)).otherwise(weight)
+    g = counts.groupBy(key).agg(F.sum(weight * F.col("n")).alias("dot"), F.sum(F.col("n") * F.col("n")).alias("sq"))
+    return g.select(key, (F.col("dot") / F.sqrt("sq")).alias("similarity"))
 
 
 def hybrid(chunks: DataFrame, query: str, k: int = 5, cond: Column | None = None, key: str = "chunk_id", text: str = "text", alpha: float = ALPHA) -> DataFrame:
@@ -117,7 +118,8 @@ def hybrid(chunks: DataFrame, query: str, k: int = 5, cond: Column | None = None
     stage, which is one top-k.
     """
     d = chunks.where(cond) if cond is not None else chunks
-    found = d.withColumn("similarity", sparse_similarity(F.col(text), query)).orderBy(F.desc("similarity"), key).limit(k * CANDIDATES)
+    best = sparse_similarity(d, key, text, query).orderBy(F.round("similarity", 12).desc(), key).limit(k * CANDIDATES)
+    found = d.join(F.broadcast(best), key)  # 4k rows
     scored = found.join(bm25(found, key, text, query), key)
     top = F.max("bm25").over(Window.partitionBy())  # at most 4k rows
     score = alpha * F.col("similarity") + (1 - alpha) * F.col("bm25") / F.when(top > 0, top).otherwise(1.0)

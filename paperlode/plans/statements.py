@@ -50,8 +50,7 @@ def statement_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def statement_top3(spark: SparkSession, d: str) -> DataFrame:
     """The three largest debits and credits of every account."""
-    tx = _transactions(spark, d)
-    return facts.largest(tx, "debit").withColumn("kind", F.lit("debit")).unionByName(facts.largest(tx, "credit").withColumn("kind", F.lit("credit")))
+    return facts.largest(_transactions(spark, d))
 
 
 def statement_reconcile(spark: SparkSession, d: str) -> DataFrame:
