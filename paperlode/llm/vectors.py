@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from paperlode.session import checkpoint, spread
 
 #: Hash tables; axes a vector tries per hash (its nearest and the next).
-TABLES, AXES = 5, 2
+TABLES, AXES = 4, 2
 #: Vectors wanted in a bucket; the number of hashes a table joins follows from it and the number of classes.
 BUCKET = 1024
 #: Most vectors one side of a block product holds; larger buckets are cut into a grid of such blocks.
@@ -84,13 +84,13 @@ def _keys():
 
 
 def _hash(hashes: int):
-    schema = pa.schema([("t", pa.int32()), ("bucket", pa.int64()), ("home", pa.bool_()), ("rid", pa.int64()), ("raw", pa.binary())])
+    """The buckets of each class, as one list: for every table its own bucket, then those it probes."""
+    schema = pa.schema([("rid", pa.int64()), ("raw", pa.binary()), ("buckets", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns: dict[int, list[np.ndarray]] = {}
         for b in batches:
             raws = b.column(1).to_pylist()
-            ids = b.column(0).to_numpy(zero_copy_only=False)
             widths = np.array([len(r) for r in raws])
             for width in np.unique(widths) if len(raws) else ():
                 at = np.flatnonzero(widths == width)
@@ -99,16 +99,15 @@ def _hash(hashes: int):
                 if dim not in turns:
                     turns[dim] = rotations(dim, TABLES * hashes)
                 base = np.int64(2 * turns[dim][0].shape[1])
-                column = pa.array([raws[i] for i in at], pa.binary())
+                columns = []
                 for t in range(TABLES):
                     codes = [axes(x, turns[dim][t * hashes + k]).astype(np.int64) for k in range(hashes)]
                     home = sum((c[:, 0] * base**k for k, c in enumerate(codes)), np.int64(dim) << 40)
-                    probes = [home] + [home + (c[:, p] - c[:, 0]) * base**k for k, c in enumerate(codes) for p in range(1, c.shape[1])]
-                    for p, bucket in enumerate(probes):
-                        n = len(at)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, t, np.int32)), pa.array(bucket), pa.array(np.full(n, p == 0)), pa.array(ids[at]), column], schema=schema
-                        )
+                    columns += [home] + [home + (c[:, p] - c[:, 0]) * base**k for k, c in enumerate(codes) for p in range(1, c.shape[1])]
+                flat = np.stack(columns, axis=1)
+                offsets = np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([raws[i] for i in at], pa.binary()), lists], schema=schema)
 
     return run
 
@@ -172,17 +171,22 @@ def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
     )
     total = classes.count()
     hashes = max(1, math.ceil(math.log(max(2, total / BUCKET)) / math.log(128)))
-    placed = classes.select("rid", "raw").repartition(spread(spark)).mapInArrow(_hash(hashes), "t int, bucket bigint, home boolean, rid bigint, raw binary")
+    tries = 1 + hashes * (AXES - 1)
+    coded = checkpoint(classes.select("rid", "raw").repartition(spread(spark)).mapInArrow(_hash(hashes), "rid bigint, raw binary, buckets array<bigint>"))
+
+    def placed(*columns: str) -> DataFrame:
+        each = coded.select(*columns, F.posexplode("buckets").alias("pos", "bucket"))
+        return each.select(F.floor(F.col("pos") / tries).cast("int").alias("t"), "bucket", (F.col("pos") % tries == 0).alias("home"), *columns)
+
     # how full buckets are: those over a block are cut into a grid of blocks, so that no task holds more than two
-    placed = checkpoint(placed)
     full = (
-        placed.groupBy("t", "bucket")
+        placed().groupBy("t", "bucket")
         .agg(F.count(F.when(F.col("home"), 1)).alias("homes"), F.count(F.lit(1)).alias("seekers"))
         .where((F.col("homes") > BLOCK) | (F.col("seekers") > 2 * BLOCK))
         .select("t", "bucket", F.ceil(F.col("homes") / BLOCK).cast("int").alias("cuts"), F.ceil(F.col("seekers") / (2 * BLOCK)).cast("int").alias("strips"))
     )
     h = F.xxhash64("rid")
-    cut = placed.join(full, ["t", "bucket"], "left").withColumns({"cuts": F.greatest(F.coalesce("cuts", F.lit(1)), F.lit(1)), "strips": F.greatest(F.coalesce("strips", F.lit(1)), F.lit(1))})
+    cut = placed("rid", "raw").join(full, ["t", "bucket"], "left").withColumns({"cuts": F.greatest(F.coalesce("cuts", F.lit(1)), F.lit(1)), "strips": F.greatest(F.coalesce("strips", F.lit(1)), F.lit(1))})
     row, column = F.pmod(h, F.col("strips")).cast("int"), F.pmod(h, F.col("cuts")).cast("int")
     as_seeker = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda c: F.struct((row * F.col("cuts") + c).alias("cell"), F.lit(False).alias("index"), F.lit(True).alias("seeks")))
     as_index = F.transform(F.sequence(F.lit(0), F.col("strips") - 1), lambda r: F.struct((r * F.col("cuts") + column).alias("cell"), F.lit(True).alias("index"), F.lit(False).alias("seeks")))
