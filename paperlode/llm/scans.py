@@ -57,6 +57,7 @@ _PAGE_NUMBER = re.compile(rf"\s*(?=.*\d|.*[lIOS]){_NUMBER}\s*")
 _TITLED = re.compile(rf".*\S(?:\s{{2,}}|\t|\s+\|\s+)(?=.*\d|.*[lIO]){_NUMBER}\s*")
 _KEY = str.maketrans({"0": "o", "1": "l", "!": "i", "5": "s", "9": "g", "6": "b", "c": "e"})
 _LEAD, _TRAIL = "([{\"'“‘*_<>|~", ")]}\"'”’.,;:?…*_<>|~"
+_MAY_END = set(".!?।:;'\")]*")
 _ENDED = re.compile(r"[.!?।:;]['\")\]]*\s*$")
 
 LABELLED = "doc_id string, page_no int, kind string, line int, a string, b string"
@@ -79,9 +80,10 @@ def shape(line: str, width: int) -> str:
         return "table"
     if len(s) <= 24 and _PAGE_NUMBER.fullmatch(s):
         return "number"
-    if len(s) <= 90 and _TITLED.fullmatch(s) and not _ENDED.search(s):
+    ended = s[-1] in _MAY_END and _ENDED.search(s)
+    if not ended and len(s) <= 90 and ("  " in s or "\t" in s or " | " in s) and _TITLED.fullmatch(s):
         return "titled"
-    if _ENDED.search(s):
+    if ended:
         return "ended"
     return "short" if len(s) < 0.72 * width and s[-1] not in _HYPHENS + "," and (s[0].isupper() or not s[0].isalpha()) else "full"
 
@@ -115,22 +117,32 @@ def label(seen: list[tuple[str, str, bool]], m: dict) -> list[str]:
     """The most likely state of every line."""
     if not seen:
         return []
-    emit = lambda s, o: m["position", s, o[0]] + m["shape", s, o[1]] + m["repeated", s, o[2]]
-    score = {s: m["move", "start", s] + emit(s, seen[0]) for s in STATES}
+    move = [[m["move", p, s] for p in STATES] for s in STATES]
+    known: dict[tuple, list[float]] = {}
+
+    def emit(o: tuple[str, str, bool]) -> list[float]:
+        e = known.get(o)
+        if e is None:
+            e = known[o] = [m["position", s, o[0]] + m["shape", s, o[1]] + m["repeated", s, o[2]] for s in STATES]
+        return e
+
+    score = [m["move", "start", s] + e for s, e in zip(STATES, emit(seen[0]), strict=True)]
     back = []
     for o in seen[1:]:
-        step, origin = {}, {}
-        for s in STATES:
-            origin[s] = max(STATES, key=lambda p: score[p] + m["move", p, s])
-            step[s] = score[origin[s]] + m["move", origin[s], s] + emit(s, o)
+        step, origin = [], []
+        for row, e in zip(move, emit(o), strict=True):
+            a, b, c = score[0] + row[0], score[1] + row[1], score[2] + row[2]
+            best = max(a, b, c)
+            origin.append(0 if best == a else 1 if best == b else 2)
+            step.append(best + e)
         back.append(origin)
         score = step
-    state = max(STATES, key=score.get)
+    state = score.index(max(score))
     path = [state]
     for origin in reversed(back):
         state = origin[state]
         path.append(state)
-    return path[::-1]
+    return [STATES[s] for s in reversed(path)]
 
 
 def core(token: str) -> str:
@@ -294,7 +306,8 @@ def _guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out: dict[str, list] = {f.name: [] for f in schema}
         for w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for printed, rank in ([(number(w), 0)] if number(w) else suspects(w)):
+            fixed = number(w)
+            for printed, rank in ([(fixed, 0)] if fixed else suspects(w)):
                 for name, v in zip(out, (w, n, printed, rank), strict=True):
                     out[name].append(v)
         yield pa.RecordBatch.from_pydict(out, schema=schema)
