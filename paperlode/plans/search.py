@@ -261,3 +261,14 @@ ORACLES["column_kinds"] = (
 )
 _OK = "CASE WHEN {p} IS NOT NULL THEN CAST(abs({p} - coalesce(debit, 0) + coalesce(credit, 0) - balance) < 0.015 AS INT) END"
 ORACLES["geometry_reconcile"] = f"WITH {_TX}, f AS (SELECT doc_id, account_number, {_OK.format(p='lag(balance) OVER w')} AS f, {_OK.format(p='lead(balance) OVER w')} AS b FROM tx WINDOW w AS (PARTITION BY doc_id, account_number ORDER BY line_no)) SELECT doc_id, account_number, round(greatest(coalesce(avg(f), 0), coalesce(avg(b), 0)), 6) AS rate FROM f GROUP BY 1, 2"
+_HEADERS = f"{_WORDS}, h AS (SELECT doc_id, text, word_no % 97 * 28.0 + (word_no // 97) * 3000 AS x0, word_no % 97 * 28.0 + (word_no // 97) * 3000 + 24 AS x1 FROM w WHERE event_type <> 'view'), g AS (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY doc_id ORDER BY x0) < 6 THEN 0 ELSE 1 END AS new FROM h), n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY x0 ROWS UNBOUNDED PRECEDING) - 1 AS pos FROM g), labels AS (SELECT doc_id, pos, string_agg(text, ' ' ORDER BY x0) AS label FROM n GROUP BY 1, 2)"
+_CASES = ORACLES["column_kinds"].split(" AS kind FROM")[0].split("label, ", 1)[1]
+ORACLES["header_labels"] = f"WITH {_HEADERS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, label, {_CASES} AS kind FROM labels"
+_Q = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {x.q(t)})" for i, t in QUESTIONS) + ") t(q_id, question))"
+_HAS = lambda p: f"regexp_matches(question, {x.q(p)})"
+_YEAR = "\\b(20\\d{2})\\s*[-/]\\s*(20\\d{2}|\\d{2})\\b"
+ORACLES["question_intents"] = (
+    f"WITH {_Q} SELECT q_id, CASE WHEN {_HAS(answers.MODEL_ONLY)} OR trim(question) = '' THEN 'model' WHEN {_HAS(answers.BANK)} AND {_HAS(answers.TAX)} THEN 'both' WHEN {_HAS(answers.BANK)} THEN 'bank' WHEN {_HAS(answers.TAX)} THEN 'tax' ELSE 'none' END AS intent, "
+    f"{_HAS(answers.TOP)} AND (regexp_matches(question, '(?i)debit|withdraw|spent|paid') OR NOT regexp_matches(question, '(?i)credit|deposit')) AS debits, {_HAS(answers.TOP)} AND (regexp_matches(question, '(?i)credit|deposit|receiv') OR NOT regexp_matches(question, '(?i)debit|withdraw')) AS credits, "
+    f"CASE WHEN regexp_matches(question, '{_YEAR}') THEN regexp_extract(question, '{_YEAR}', 1) || '-' || right(regexp_extract(question, '{_YEAR}', 2), 2) ELSE '2020-21' END AS year FROM q"
+)

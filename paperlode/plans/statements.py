@@ -184,3 +184,17 @@ ORACLES = {
     "amounts_parsed": f"SELECT printed, {x.amount('printed')} AS amount FROM (SELECT DISTINCT printed FROM (SELECT unnest(cells) AS printed FROM doc_lines) WHERE length(printed) BETWEEN 1 AND 18)",
     "amounts_formatted_inr": f"SELECT o_orderkey, {x.inr('CAST(o_totalprice AS DECIMAL(18,2)) * CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END')} AS text FROM orders",
 }
+_BANK_OF = "CASE {} " + " ".join(f"WHEN {x.q(k)} THEN {x.q(v)}" for k, v in facts.IFSC_BANKS.items()) + " END"
+_NAMES = [*facts.BANK_NAMES.items(), ("ICICI", "ICICI Bank"), ("HDFC", "HDFC Bank")]
+_LABELLED = f"left(regexp_extract(text, {x.q(facts.IFSC_LABELLED)}, 1), 4)"
+ORACLES["statement_banks"] = (
+    f"WITH {_SECTIONS}, b AS (SELECT *, page = page_start AND cells IS NULL AS head, regexp_replace(upper(text), '[^A-Z]', '', 'g') AS caps, {_BANK_OF.format(f'regexp_extract(text, {x.q(facts.IFSC_ANY)}, 1)')} AS loose FROM sl), "
+    f"a AS (SELECT doc_id, account_number, arg_min({_LABELLED}, line_no) FILTER (head AND regexp_matches(text, {x.q(facts.IFSC_LABELLED)})) AS lab, arg_min(loose, line_no) FILTER (head AND loose IS NOT NULL) AS loose, "
+    + ", ".join(f"bool_or(head AND contains(caps, '{k}')) AS on_{i}" for i, k in enumerate(facts.BANK_NAMES)) + ", "
+    + ", ".join(f"sum((length(caps) - length(replace(caps, '{k}', ''))) // {len(k)}) AS n_{i}" for i, (k, _) in enumerate(_NAMES))
+    + f" FROM b GROUP BY 1, 2) SELECT doc_id, account_number, coalesce({_BANK_OF.format('lab')}, lab, CASE "
+    + " ".join(f"WHEN on_{i} THEN {x.q(v)}" for i, v in enumerate(facts.BANK_NAMES.values()))
+    + " END, loose, CASE "
+    + " ".join(f"WHEN n_{i} > 0 AND n_{i} = greatest({', '.join(f'n_{j}' for j in range(len(_NAMES)))}) THEN {x.q(v)}" for i, (_, v) in enumerate(_NAMES))
+    + " END) AS bank FROM a"
+)
