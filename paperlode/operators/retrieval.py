@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlode.functions.scalars import est_tokens, keywords, let
+from paperlode.session import checkpoint
 
 K1, B = 1.5, 0.75
 #: Share of similarity in the joint score; candidates per wanted hit.
@@ -25,7 +28,7 @@ def where(**filters: str | None) -> Column:
 def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """``key`` and score (bm25) of every row; statistics are those of the rows given. No query terms score 0.
 
-    The only shuffle is of one row of statistics: term counts are arrays beside each row, so nothing is exploded.
+    Term counts are columns beside each row, so nothing is exploded or shuffled.
     """
     terms = sorted(set(_words(query)))
 
@@ -35,15 +38,16 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: fl
     d = docs.select(key, keywords(F.coalesce(text, F.lit(""))).alias("t")).select(key, F.size("t").alias("len"), *(times(w).alias(f"tf{i}") for i, w in enumerate(terms)))
     if not terms:
         return d.select(key, F.lit(0.0).alias("bm25"))
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
-    j = d.crossJoin(F.broadcast(stats))  # one row
-    avg = F.when(F.col("avg") > 0, F.col("avg")).otherwise(1.0)
+    # one row of statistics comes to the driver and goes back as literals: no join
+    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms)))).first()
+    n, avg = stats["n"], stats["avg"] or 1.0
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        seen = stats[f"df{i}"] or 0
+        idf = math.log(1 + (n - seen + 0.5) / (seen + 0.5))
         tf = F.col(f"tf{i}")
         score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / avg))).otherwise(0.0)
-    return j.select(key, score.alias("bm25"))
+    return d.select(key, score.alias("bm25"))
 
 
 def _words(query: str) -> list[str]:
@@ -119,7 +123,7 @@ def hybrid(chunks: DataFrame, query: str, k: int = 5, cond: Column | None = None
     """
     d = chunks.where(cond) if cond is not None else chunks
     best = sparse_similarity(d, key, text, query).orderBy(F.round("similarity", 12).desc(), key).limit(k * CANDIDATES)
-    found = d.join(F.broadcast(best), key)  # 4k rows
+    found = checkpoint(d.join(F.broadcast(best), key))  # 4k rows, read twice
     scored = found.join(bm25(found, key, text, query), key)
     top = F.max("bm25").over(Window.partitionBy())  # at most 4k rows
     score = alpha * F.col("similarity") + (1 - alpha) * F.col("bm25") / F.when(top > 0, top).otherwise(1.0)

@@ -37,8 +37,8 @@ def keyword_counts(spark: SparkSession, d: str) -> DataFrame:
 def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten vectors most similar to the first of label 0, among those of the labels up to 4."""
     v = table(spark, d, "embeddings", "vec_id", "embedding", "label")
-    q = v.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    return v.where("label <= 4").crossJoin(F.broadcast(q)).withColumn("s", retrieval.cosine(F.col("embedding"), F.col("q"))).where("s is not null").orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("similarity"))
+    q = v.orderBy("vec_id").limit(1).first()  # the query itself
+    return retrieval.nearest(v, "vec_id", "embedding", q.embedding, 10, F.col("label") <= 4).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
