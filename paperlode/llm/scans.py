@@ -274,9 +274,7 @@ def _label(m: dict):
                         else:
                             put(d, n, "hangs", i + 1, left + "\x1f" + last[-1], "")
                             tokens = tokens[:-1]
-                    for w in {core(t) for t in tokens}:
-                        if len(w) > 1:
-                            put(d, n, "word", i + 1, w, "")
+                    put(d, n, "words", i + 1, "\x1f".join({t.lstrip(_LEAD).rstrip(_TRAIL) for t in tokens}), "")
             yield pa.RecordBatch.from_pydict(out, schema=_LABELLED)
 
     return run
@@ -292,7 +290,8 @@ def pages(pages_in: DataFrame, shard_results: DataFrame) -> DataFrame:
 
 
 def labelled(p: DataFrame) -> DataFrame:
-    """Labels and words of all pages (see ``_label``): headers, page numbers, words, broken and hanging words."""
+    """Labels and words of all pages (see ``_label``): headers, page numbers, the
+    words of a line joined by unit separators, broken and hanging words."""
     edges = p.mapInArrow(_edges, "doc_id string, page_no int, key string")
     again = edges.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "key")
     known = edges.join(again, ["doc_id", "key"], "left_semi").groupBy("doc_id", "page_no").agg(F.collect_set("key").alias("repeated"))
@@ -342,8 +341,14 @@ def repairs(pages_in: DataFrame, shard_results: DataFrame) -> DataFrame:
     return _repairs(labelled(pages(pages_in, shard_results)))
 
 
+def _words(rows: DataFrame) -> DataFrame:
+    """doc_id, page_no, line, a: the distinct words of every line."""
+    each = rows.where("kind = 'words'").select("doc_id", "page_no", "line", F.explode(F.split("a", "\x1f")).alias("a"))
+    return each.where(F.length("a") > 1)
+
+
 def _repairs(rows: DataFrame) -> DataFrame:
-    words = checkpoint(rows.where("kind = 'word'").groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n")))
+    words = checkpoint(_words(rows).groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n")))
     # words that hang at the end of a page go on at the opening of the next page that has text, at most three on
     hangs = rows.where("kind = 'hangs'").select("doc_id", "page_no", "line", "a", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("step"))
     opens = rows.where("kind = 'opens'").select("doc_id", F.col("page_no").alias("next_no"), F.col("a").alias("right"))
@@ -368,7 +373,7 @@ def _repairs(rows: DataFrame) -> DataFrame:
     )
     whole = counted.groupBy("left", "mark", "right").agg(F.max(score).alias("s")).select("left", "mark", "right", "s.whole")
     hyphen = broken.join(whole, [broken.left == whole.left, broken.mark == whole.mark, broken.b == whole.right]).select("doc_id", "page_no", "line", F.lit("hyphen").alias("kind"), F.col("whole").alias("fixed"))
-    ocr = rows.where("kind = 'word'").join(misread.withColumnRenamed("word", "a"), "a").select("doc_id", "page_no", "line", F.lit("ocr").alias("kind"), "fixed")
+    ocr = _words(rows).join(misread.withColumnRenamed("word", "a"), "a").select("doc_id", "page_no", "line", F.lit("ocr").alias("kind"), "fixed")
     running = rows.where("kind in ('header', 'page_number')").select("doc_id", "page_no", "line", "kind", F.lit("").alias("fixed"))
     return hyphen.unionByName(ocr).unionByName(running).withColumnRenamed("line", "line_in_page").distinct()
 
