@@ -34,12 +34,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     Only where that is unset, as in tests, a temporary folder of this machine is taken.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="paperlode-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paperlode-"))
     return df.checkpoint(eager=True)
 
 
 def spread(spark: SparkSession, floor: int = 1) -> int:
     """Partitions for a shuffle this engine asks for explicitly."""
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """The same rows over all cores where a scan has fewer splits than there are (one small file, say).
+
+    Larger inputs are left as they are; it moves rows only, and changes no result.
+    """
+    sc = df.sparkSession.sparkContext
+    return df.repartition(sc.defaultParallelism) if df.rdd.getNumPartitions() < sc.defaultParallelism else df
