@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperlode.session import widen
+
 #: Consecutive words that make a passage.
 WORDS = 13
 #: Characters of items in one automaton; a larger set of items is scanned in several passes.
@@ -97,9 +99,10 @@ def leaked(documents: DataFrame, items: DataFrame, n: int = WORDS) -> DataFrame:
     kept = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
     size = kept.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-size // AUTOMATON))
+    texts = widen(documents.select("doc_id", "text"))
     found = None
     for p in range(passes):
         part = [(r.item_id, r.text) for r in kept.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p).toLocalIterator()]
-        hits = documents.select("doc_id", "text").mapInArrow(_scan(spark.sparkContext.broadcast(part), n), OUT)
+        hits = texts.mapInArrow(_scan(spark.sparkContext.broadcast(part), n), OUT)
         found = hits if found is None else found.unionByName(hits)
     return found

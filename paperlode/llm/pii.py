@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperlode.session import widen
+
 # Anchors by the parser they call. A cue ends where the item may begin, or stands inside or after it.
 EMAIL_ANCHORS = ("@",)
 PHONE_ANCHORS = ("+", "ontact", "obile", "hone", "umber is", "eached on", "collect ", "Tel", "tel:", "tel.", "Call ", "call ", "WhatsApp", "Fax", "/ 0")
@@ -211,10 +213,10 @@ def found(chunks: DataFrame, lines: DataFrame) -> DataFrame:
     In: chunks (doc_id, chunk_index, text), lines (doc_id, line_no, text); further columns are ignored. Null and
     empty texts hold none; copies of a row count once; a value that stands twice in a text is one row.
     """
-    return _texts(chunks, lines).where(F.length("text") > 3).mapInArrow(_found, OUT).distinct()
+    return widen(_texts(chunks, lines).where(F.length("text") > 3)).mapInArrow(_found, OUT).distinct()
 
 
 def redacted(chunks: DataFrame, lines: DataFrame) -> DataFrame:
     """origin, doc_id, seq, text of every row with typed placeholders (``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``,
     ``[ADDRESS]``, ``[NAME]``) for what :func:`found` finds; null and empty texts stay as they are, rows stay rows."""
-    return _texts(chunks, lines).mapInArrow(_redacted, "origin string, doc_id string, seq int, text string")
+    return widen(_texts(chunks, lines)).mapInArrow(_redacted, "origin string, doc_id string, seq int, text string")

@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from paperlode.session import widen
+
 #: Words a worker remembers; beyond it starts anew. It bounds memory and changes no result.
 REMEMBERED = 400_000
 
@@ -132,4 +134,4 @@ def token_ids(documents: DataFrame, ranks_path: str, pattern: str = PATTERN) ->
     its file) is the only thing broadcast.
     """
     ranks = documents.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    return documents.select("doc_id", "text").mapInArrow(_encode(ranks, pattern), "doc_id bigint, ids array<int>")
+    return widen(documents.select("doc_id", "text")).mapInArrow(_encode(ranks, pattern), "doc_id bigint, ids array<int>")
