@@ -85,6 +85,46 @@ def return_tables(returns: DataFrame, year: str | None = None) -> DataFrame:
     return g.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n").alias("answer"))
 
 
+def _named(name: str, value: Column) -> Column:
+    """``name: value``, null where there is no value, so that ``concat_ws`` passes it over."""
+    return F.when(value.isNotNull() & (value.cast("string") != ""), F.concat(F.lit(f"{name}: "), value.cast("string")))
+
+
+def rendered_accounts(facts: DataFrame, sources: DataFrame) -> DataFrame:
+    """G11 for statements: doc_id and a compact text of its accounts for a prompt; what is not known is left out."""
+    day = lambda c: F.date_format(c, "dd MMM yyyy")
+    summary = F.array_join(F.transform(F.map_entries("statement_summary"), lambda e: F.concat(F.replace(e["key"], F.lit("_"), F.lit(" ")), F.lit(" "), e["value"])), ", ")
+
+    def largest(kind: str) -> Column:
+        one = lambda t: F.concat(inr(t["amount"]), F.lit(" on "), F.date_format(t["tx_date"], "dd MMM yyyy"), F.when(t["narration"] != "", F.concat(F.lit(" ("), t["narration"], F.lit(")"))).otherwise(""))
+        return F.when(F.size(kind) > 0, F.concat(F.lit(f"\n     {kind.replace('_', ' ')}: "), F.array_join(F.transform(kind, one), "; ")))
+
+    bits = F.concat_ws(
+        "; ", F.concat(F.coalesce("bank", F.lit("Unknown bank")), F.lit(" a/c "), F.col("account_number")), F.concat(F.lit("pages "), page_span("page_start", "page_end")),
+        _named("holder", F.col("holder")), _named("period", F.col("period")), _named("transactions", F.col("transactions")), _named("first transaction", day("first_transaction")), _named("last transaction", day("last_transaction")),
+        _named("printed summary", summary), _named("computed closing balance", inr("closing_balance")), _named("computed total debits", inr("total_debits")), _named("computed total credits", inr("total_credits")), _named("row check", F.col("row_check")),
+    )
+    notes = F.array_join(F.transform("warnings", lambda w: F.concat(F.lit("\n     WARNING: "), w)), "")
+    d = facts.withColumn("t", F.concat(bits, notes, F.coalesce(largest("largest_debits"), F.lit("")), F.coalesce(largest("largest_credits"), F.lit(""))))
+    return _numbered(d, ["page_start", "account_number"], sources, " account(s) in this file")
+
+
+def rendered_returns(returns: DataFrame, sources: DataFrame, year: str | None = None) -> DataFrame:
+    """G11 for returns: doc_id and a compact text of its returns, of one year if given (then files without it have none)."""
+    amounts = F.array_join(F.filter(F.array(*(_named(label, F.col("amounts")[k]) for k, label in LABELS.items())), lambda x: x.isNotNull()), "; ")
+    names = ("form", "assessment_year", "name", "pan", "date_of_filing", "acknowledgement_number")
+    head = F.concat_ws("; ", F.concat(F.lit("pages "), page_span("page_start", "page_end")), *(_named(n.replace("_", " "), F.col(n)) for n in names))
+    d = returns.withColumn("t", F.concat(head, F.when(amounts != "", F.concat(F.lit("\n     "), amounts)).otherwise("")))
+    return _numbered(d.where(F.col("assessment_year") == year) if year else d, ["return_no"], sources, " income tax return(s) in this file")
+
+
+def _numbered(d: DataFrame, order: list[str], sources: DataFrame, what: str) -> DataFrame:
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(*order, "t"))), lambda x: x["t"])
+    g = d.groupBy("doc_id").agg(rows.alias("r")).join(sources, "doc_id", "left")
+    lines = F.array_join(F.transform("r", lambda t, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), t)), "\n")
+    return g.select("doc_id", F.concat(F.coalesce("source", "doc_id"), F.lit(":\n  "), F.size("r").cast("string"), F.lit(what + "\n"), lines).alias("text"))
+
+
 def summaries(accounts: DataFrame, returns: DataFrame) -> DataFrame:
     """One line for every document with facts; returns go before accounts where a file has both."""
     who = F.concat(F.coalesce("bank", F.lit("Unknown bank")), F.lit(" …"), F.right("account_number", F.lit(4)))

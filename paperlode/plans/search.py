@@ -89,6 +89,13 @@ def quick_return_answers(spark: SparkSession, d: str) -> DataFrame:
     return answers.return_tables(facts.returns(facts.distinct_lines(lines)))
 
 
+def facts_rendered(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of every document as text for a prompt."""
+    lines = facts.distinct_lines(table(spark, d, "doc_lines", "doc_id", "line_no", "page", "text", "cells", "loaded_at"))
+    names = table(spark, d, "doc_lines", "doc_id", "source").groupBy("doc_id").agg(F.min("source").alias("source"))
+    return answers.rendered_returns(facts.returns(lines), names).unionByName(answers.rendered_accounts(facts.statement_facts(lines), names))
+
+
 def fact_summaries(spark: SparkSession, d: str) -> DataFrame:
     """One line for every document with facts."""
     lines = facts.distinct_lines(table(spark, d, "doc_lines", "doc_id", "line_no", "page", "text", "cells", "loaded_at"))
@@ -194,7 +201,7 @@ def tables_markdown(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, keyword_counts, knn_cosine_topk, hybrid_topk, filtered_hybrid_topk, context_budget_cut, citation_labels, question_intents, model_routes, quick_bank_answers, quick_return_answers, fact_summaries, hits_facts,
+        bm25_topk, keyword_counts, knn_cosine_topk, hybrid_topk, filtered_hybrid_topk, context_budget_cut, citation_labels, question_intents, model_routes, quick_bank_answers, quick_return_answers, facts_rendered, fact_summaries, hits_facts,
         nearest_column, asof_record, nearest_record, median_gap, header_labels, column_kinds, heading_levels, words_outside, fallback_pages, geometry_reconcile, tables_markdown,
     )
 }

@@ -136,6 +136,9 @@ def test_answers_and_listing(spark):
     names = spark.createDataFrame([("d", "file.pdf")], "doc_id string, source string")
     shown = answers.bank_tables(f, names).first().answer
     assert shown.startswith("**file.pdf** has **2 accounts**:") and "| HDFC Bank | 1234567890 | Asha Rao |" in shown and "55 (printed)" in shown
+    told = answers.rendered_accounts(f, names).first().text
+    assert told.startswith("file.pdf:\n  2 account(s) in this file\n  1. HDFC Bank a/c 1234567890; pages 1-2; holder: Asha Rao; period: 01/04/2021 to 30/06/2021; transactions: 3; first transaction: 01 Apr 2021;")
+    assert "printed summary: closing balance 55; computed closing balance: 50;" in told and "\n     largest debits: 40 on 05 Apr 2021 (rent); 10 on 05 Apr 2021 (fee)" in told and "\n     WARNING: computed closing balance" in told and "\n  2. " in told
     assert "| HDFC Bank …7890 | 05 Apr 2021 | 40 | rent |" in answers.largest_table(f, "largest_debits").first().answer
     t = listing.with_type(spark.createDataFrame([("itr",), (None,), ("odd",)], "doc_type string"), listing.doc_types(spark))
     assert sorted(r.type_label for r in t.collect()) == ["Income tax return", "Other document", "Other document"]

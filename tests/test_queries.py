@@ -12,7 +12,7 @@ import pytest
 
 from paperlode.plans import catalog
 
-SLOW = {"statement_facts", "quick_bank_answers", "quick_return_answers", "return_facts", "fact_summaries"}
+SLOW = {"statement_facts", "quick_bank_answers", "quick_return_answers", "return_facts", "fact_summaries", "facts_rendered"}
 
 
 def plain(v):
