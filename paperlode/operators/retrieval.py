@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlode.functions.scalars import est_tokens, keywords, let
-from paperlode.session import checkpoint
+from paperlode.session import checkpoint, widen
 
 K1, B = 1.5, 0.75
 #: Share of similarity in the joint score; candidates per wanted hit.
@@ -35,7 +35,8 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: fl
     def times(word: str) -> Column:
         return F.size("t") - F.size(F.array_remove("t", word))
 
-    d = docs.select(key, keywords(F.coalesce(text, F.lit(""))).alias("t")).select(key, F.size("t").alias("len"), *(times(w).alias(f"tf{i}") for i, w in enumerate(terms)))
+    # generating the one list keeps projections from being merged, which would cut each text once a term
+    d = widen(docs.select(key, text)).select(key, F.explode(F.array(keywords(F.coalesce(text, F.lit(""))))).alias("t")).select(key, F.size("t").alias("len"), *(times(w).alias(f"tf{i}") for i, w in enumerate(terms)))
     if not terms:
         return d.select(key, F.lit(0.0).alias("bm25"))
     # one row of statistics comes to the driver and goes back as literals: no join
