@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,10 +42,45 @@ _CODES = re.compile(r"^(?:SKU|EAN|UPC|ASIN|MPN)s?[:#]?(?:[\s,;|]+[A-Z]*-?\d[\w-]
 
 #: Most words of a key phrase; items that make a list; occurrences that make a phrase repeated; share of a text.
 PHRASE, ITEMS, REPEATED, MORE_THAN = 5, 4, 3, 0.5
+#: Words of a window of running text, the step between windows and the fewest words of one; the shares that make it
+#: stuffed: least of words in repeated pairs and of its top word, most of distinct words, function words and numbers.
+WINDOW, STEP, FEWEST = 40, 10, 12
+PAIRED, TOP, DISTINCT, FUNCTION, NUMBERS = 0.7, 0.13, 0.65, 0.3, 0.1
+#: Most words before a danda that may be a key phrase.
+SENTENCE = 7
 
 FEATURES = ("top_word", "ngrams", "dup_lines", "links", "separators", "function_words", "stuffed")
 
 
+def _stuffed_words(words: list[str]) -> list[bool]:
+    """For each word of a running text, whether it belongs to repeated key phrases by the shares of a window alone:
+    nearly all words stand in pairs that the text repeats, few are distinct, few are function words or numbers. Full
+    stops do not matter, so that key phrases cannot pass as sentences."""
+    n, out = len(words), [False] * len(words)
+    if n < FEWEST:
+        return out
+    pairs = Counter(zip(words, words[1:], strict=False))
+    paired = [False] * n
+    for i in range(n - 1):
+        if pairs[words[i], words[i + 1]] >= REPEATED:
+            paired[i] = paired[i + 1] = True
+    before = [0, *accumulate(paired)]
+    for a in sorted({*range(0, max(1, n - WINDOW + 1), STEP), max(0, n - WINDOW)}):
+        b = min(n, a + WINDOW)
+        size = b - a
+        if before[b] - before[a] < PAIRED * size:
+            continue
+        c = Counter(words[a:b])
+        if (
+            len(c) <= DISTINCT * size
+            and max(c.values()) >= TOP * size
+            and sum(k for w, k in c.items() if w in _FUNCTION) <= FUNCTION * size
+            and sum(k for w, k in c.items() if w[0].isdigit()) <= NUMBERS * size
+        ):
+            out[a:b] = [x or y for x, y in zip(out[a:b], paired[a:b], strict=True)]
+    return out
+
+
 def features(text: str | None) -> dict[str, float]:
     """Shares of a text, from 0 to 1: of its most frequent word, words in repeated n-grams, duplicate lines, link
     text, separators, function words, and of all characters in link items, tag lists or repeated key phrases."""
@@ -52,7 +88,8 @@ def features(text: str | None) -> dict[str, float]:
     if not text or not text.strip():
         return zero
     total = linked = spam = 0
-    loose: list[tuple[int, list[str]]] = []  # units that might be key phrases: size and words
+    loose: list[tuple[int, int, list[str], str]] = []  # units that might be key phrases: place, size and words
+    units: list[tuple[int, list[str]]] = []  # all units of running text: size and words
     lines = [x.strip() for x in text.splitlines() if x.strip()]
     words_all = _WORD.findall(text.lower())
     separators = len(_SEPARATOR.findall(text))
@@ -81,31 +118,34 @@ def features(text: str | None) -> dict[str, float]:
             continue
         for unit in (u for part in rest.split("\n") for u in _SENTENCE.split(part)):
             unit = unit.strip()
+            words = _WORD.findall(unit.lower())
+            # a danda ends sentences only; more words than a key phrase with its place and call has are one
+            units.append((sum(map(len, unit.split())), [] if unit.endswith("।") and len(words) > SENTENCE else words))
             if not unit or (unit[-1] in ".!?।" and not _FUNCTION.isdisjoint(unit.lower().split()) and unit.count(" ") > 2):
                 continue
-            words = _WORD.findall(unit.lower())
             if not words or _ENDS.search(unit) and len(words) > 3 and not _FUNCTION.isdisjoint(words):
                 continue
             if _CODES.match(unit):
-                loose.append((sum(map(len, unit.split())), [], unit))
+                loose.append((len(units) - 1, units[-1][0], [], unit))
                 continue
             digits = sum(w[0].isdigit() for w in words)
             known = sum(w in _FUNCTION for w in words)
             if digits * 10 > len(words) or known > 0.2 * len(words) or (_ENDS.search(unit) and len(words) > 6 and known):
                 continue
-            loose.append((sum(map(len, unit.split())), words, unit))
+            loose.append((len(units) - 1, units[-1][0], words, unit))
     counts = Counter(words_all)
+    stuffed: set[int] = set()
     if loose:
         # phrases of two and three words inside the units that may be stuffed, counted over the whole text
         grams: Counter = Counter()
-        for _, words, unit in loose:
+        for _, _, words, unit in loose:
             for item in _SEPARATOR.split(_LABEL.sub("", unit)):
                 w = _WORD.findall(item.lower())
                 if 0 < len(w) <= PHRASE:
                     grams[" ".join(w)] += 1
             for i in range(len(words) - 1):
                 grams[words[i], words[i + 1]] += 1
-        for size, words, unit in loose:
+        for at, _, words, unit in loose:
             items = [i for i in map(str.strip, _SEPARATOR.split(_LABEL.sub("", unit))) if i]
             short = [i for i in items if len(i.split()) <= PHRASE]
             listed = len(items) >= ITEMS and len(short) == len(items)
@@ -113,7 +153,12 @@ def features(text: str | None) -> dict[str, float]:
             whole = sum(grams[" ".join(_WORD.findall(i.lower()))] >= REPEATED for i in items) / max(1, len(items))
             pairs = sum(grams[words[i], words[i + 1]] >= REPEATED for i in range(len(words) - 1)) / max(1, len(words) - 1)
             if _CODES.match(unit) or (listed and (whole >= 0.5 or tagged)) or whole >= 0.75 or (len(words) > 2 and pairs >= 0.6):
-                spam += size
+                stuffed.add(at)
+    marked, at = _stuffed_words([w for _, words in units for w in words]), 0
+    for i, (size, words) in enumerate(units):
+        if i in stuffed or sum(marked[at : at + len(words)]) * 2 > len(words):
+            spam += size
+        at += len(words)
     n = max(1, len(words_all))
     repeated = sum(c for c in Counter(zip(words_all, words_all[1:], strict=False)).values() if c >= REPEATED)
     return {
