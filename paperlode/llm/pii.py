@@ -1,8 +1,8 @@
 """Personal information in free text, by anchor expansion.
 
 One Aho-Corasick automaton finds at-signs, dialling prefixes, titles, street words and other cues. At each anchor a
-deterministic parser of its kind expands to the left and right and validates the boundaries. Texts without an anchor
-cost one pass of the automaton.
+deterministic parser of its kind expands to the left and right and validates the boundaries. Phone, PAN, Aadhaar and
+passport numbers are also tried wherever their form begins, whatever the words before them (:func:`_uncued`).
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ _UPPER_NOT = {w.upper() for w in NOT_PERSON} | {"RENT", "UPI", "NEFT", "IMPS", "
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?$")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _PHONE = re.compile(
-    r"(?<![\w+])(?:"
+    r"(?=[(+\d])(?<![\w+])(?:"
     r"\(?\+91\)?[ -]?\d{5}[ -]?\d{5}"
     r"|\(?\+44\)?[ -]?\d{2,4}[ -]?\d{3,4}[ -]?\d{3,4}"
     r"|\(?\+1\)?[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]?\d{4}"
@@ -53,6 +53,13 @@ _PHONE = re.compile(
 _AADHAAR = re.compile(r"(?<![\w-])[\dXx*]{4}([ -]?)[\dXx*]{4}\1\d{4}(?![\w]|-\d)")
 _PAN = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]{5}\d{4}[A-Z]|[A-Z]{2,5}[Xx*]{2,6}\d{2,4}[A-Z]|[Xx*]{5,6}\d{4}[A-Z*]|[A-Z]{5}[Xx*]{4}[A-Z])(?![A-Za-z0-9])")
 _PASSPORT = re.compile(r"(?<![A-Za-z0-9])(?:[A-Z]\d{7}|[A-Z][Xx*]{3,5}\d{2,4})(?![A-Za-z0-9])")
+# Forms that need no cue: an Aadhaar number in groups that are no part of a longer row of groups, a whole passport number
+# (a masked one, or twelve digits in one run, looks like an account).
+# The runs only say where it is worth to try.
+_RUN = re.compile(r"\d[\d ()-]{7,}\d")
+_MASK = re.compile(r"[Xx*]{4}[ -]")
+_GROUPS = re.compile(r"(?<![\d*Xx][ -])(?<![\w+-])[\dXx*]{4}([ -])[\dXx*]{4}\1\d{4}(?![\w]|[ -]\d)")
+_WHOLE_PASSPORT = re.compile(r"(?<![A-Za-z0-9])[A-Z]\d{7}(?![A-Za-z0-9])")
 _POSTAL = re.compile(r"[^\n|;:]{0,110}?(?<!\d)\d{3} ?\d{3}(?!\d)")
 _DOOR = re.compile(r"(?:(?:H\.? ?No\.?|D\.? ?No\.?|Door No\.?|Flat(?: No\.?)?|House No\.?|Plot No\.?|Apt\.?|Unit|No\.?) ?)?(?<![\w/-])\d{1,4}[A-Z]?(?:[-/]\d{1,4}[A-Z]?)*,? (?=[A-Z])")
 _W = r"(?:[A-Z][a-z]+(?:[A-Z][a-z]+)?(?:-[A-Z][a-z]+)?|[A-Z]{2,}(?:-[A-Z]{2,})?)"
@@ -111,6 +118,20 @@ def _name_at(text: str, at: int) -> tuple[int, int] | None:
     return (at, end) if _person(text, at, end) else None
 
 
+def _uncued(text: str) -> Iterator[tuple[int, int, str]]:
+    """Phone and identity numbers by their form alone, unless glued to a slash (parts of codes and paths) or after
+    words that make them numbers of something else."""
+    tried = [(m, "id_number") for pattern in (_PAN, _WHOLE_PASSPORT) for m in pattern.finditer(text)]
+    runs = [(max(0, r.start() - 2), r.end() + 3) for r in _RUN.finditer(text)]
+    runs += [(max(0, r.start() - 5), r.end() + 12) for r in _MASK.finditer(text)]
+    for kind, pattern in (("id_number", _GROUPS), ("phone", _PHONE)):
+        tried += [(m, kind) for lo, hi in runs for m in pattern.finditer(text, lo, hi)]
+    for m, kind in tried:
+        a, b = m.span()
+        if text[a - 1 : a] != "/" and text[b : b + 1] != "/" and not _NOT_NUMBER.search(text[max(0, a - 30) : a]):
+            yield a, b, kind
+
+
 def find(text: str | None, anchors) -> list[tuple[int, int, str]]:
     """Spans of personal information: start, end, type, in order and without overlap."""
     if not text:
@@ -135,9 +156,14 @@ def find(text: str | None, anchors) -> list[tuple[int, int, str]]:
                     break
             elif kind == "id":
                 for pattern in (_AADHAAR, _PAN, _PASSPORT):
-                    m = pattern.search(text, end, end + 60)
-                    if m and not _NOT_NUMBER.search(text[max(0, m.start() - 30) : m.start()]) and "\n" not in text[end : m.start()]:
-                        spans.append((m.start(), m.end(), "id_number"))
+                    taken = [
+                        (*m.span(), "id_number")
+                        for m in pattern.finditer(text, end, end + 60)
+                        if not _NOT_NUMBER.search(text[max(0, m.start() - 30) : m.start()]) and "\n" not in text[end : m.start()]
+                    ]
+                    if taken:
+                        # the first as it stands; of further ones no phone number's digits
+                        spans += [taken[0], *(s for s in taken[1:] if text[s[0] - 1] != "+" and not text[s[0] : s[1]].isdigit())]
                         break
             elif kind == "street" and start > streets:
                 tail = _POSTAL.match(text, end)
@@ -160,6 +186,9 @@ def find(text: str | None, anchors) -> list[tuple[int, int, str]]:
                     lo = start - len(left)
                     # words beyond the match would make another, longer phrase
                     spans.append((lo + m.start(), lo + m.end(), "name"))
+    for s in _uncued(text):  # what a cue has found goes first
+        if all(s[1] <= k[0] or s[0] >= k[1] for k in spans):
+            spans.append(s)
     if not spans:
         return spans
     spans.sort(key=lambda s: (_FIRST[s[2]], s[0], -s[1]))
