@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,12 @@ def parse_amount(text: Column | str) -> Column:
     return let(squeezed, value)
 
 
+def ascii_digits(text: Column | str) -> Column:
+    """The text with the decimal digits of every script as 0 to 9."""
+    other = [c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Nd"]
+    return F.translate(_c(text), "".join(other), "".join(str(unicodedata.digit(c)) for c in other))
+
+
 def signed(cell: Column | str) -> Column:
     """The first number inside a cell; negative if it starts with a bracket or minus, or the cell ends with Dr."""
     t = F.upper(F.replace(_c(cell), F.lit(" "), F.lit("")))

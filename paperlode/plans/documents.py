@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.functions.scalars import assessment_year, clean_cell, est_tokens, page_span, shorten, signed, suffix_of_tag, without_thoughts
+from paperlode.functions.scalars import ascii_digits, assessment_year, clean_cell, est_tokens, page_span, shorten, signed, suffix_of_tag, without_thoughts
 from paperlode.operators import facts, grounding, ingest, listing, text
 from paperlode.plans import sqltext as x
 from paperlode.tables import table
@@ -103,11 +103,17 @@ def cells_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cells_signed(spark: SparkSession, d: str) -> DataFrame:
-    """H3: the signed number inside a cell."""
+    """H3: the signed number inside a cell of 1 to 16 characters, as its SQL does; :func:`cells_signed_all` takes every cell."""
     c = table(spark, d, "doc_lines", "cells").select(F.explode("cells").alias("cell")).where(F.length("cell").between(1, 16)).distinct()
     return c.select("cell", signed("cell").alias("number"))
 
 
+def cells_signed_all(spark: SparkSession, d: str) -> DataFrame:
+    """H3: the signed number inside every distinct cell, of any length and with digits of any script."""
+    c = table(spark, d, "doc_lines", "cells").select(F.explode("cells").alias("cell")).where("cell is not null").distinct()
+    return c.select("cell", signed(ascii_digits("cell")).alias("number"))
+
+
 def texts_shortened(spark: SparkSession, d: str) -> DataFrame:
     """Texts cut to 48 characters."""
     return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", shorten("text").alias("short"))
@@ -239,7 +245,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_content_id, doc_exact_duplicates, doc_token_estimate, chunk_token_estimate, page_triage, doc_garbage_ratio, page_lines, page_blocks, heading_paths, chunks_packed, markdown_assembled, embed_text_trim,
-        doc_numbers, unverified_numbers, cells_cleaned, cells_signed, texts_shortened, years_named, think_filter, tag_suffixes, page_spans, documents_listing, docs_by_source, kind_histogram, years_and_names,
+        doc_numbers, unverified_numbers, cells_cleaned, cells_signed, cells_signed_all, texts_shortened, years_named, think_filter, tag_suffixes, page_spans, documents_listing, docs_by_source, kind_histogram, years_and_names,
         year_pivot, chunk_types, type_options, chunk_sections, page_runs, shard_plan, shard_schedule, shard_pages, shard_outcome, batch_report, new_docs_anti, indexed_semi, latest_lines, latest_loads,
     )
 }

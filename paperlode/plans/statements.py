@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperlode.functions.scalars import inr, parse_amount, parse_date
+from paperlode.functions.scalars import ascii_digits, inr, parse_amount, parse_date
 from paperlode.operators import facts
 from paperlode.plans import sqltext as x
 from paperlode.tables import table
@@ -104,11 +104,17 @@ def dates_parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def amounts_parsed(spark: SparkSession, d: str) -> DataFrame:
-    """H2: every printed cell read as an amount."""
+    """H2: the cells of 1 to 18 characters read as amounts, as its SQL does; :func:`amounts_all` reads every cell."""
     c = table(spark, d, "doc_lines", "cells").select(F.explode("cells").alias("printed")).where(F.length("printed").between(1, 18)).distinct()
     return c.select("printed", parse_amount("printed").alias("amount"))
 
 
+def amounts_all(spark: SparkSession, d: str) -> DataFrame:
+    """H2: every distinct printed cell, of any length and with digits of any script, read as an amount."""
+    c = table(spark, d, "doc_lines", "cells").select(F.explode("cells").alias("printed")).where("printed is not null").distinct()
+    return c.select("printed", parse_amount(ascii_digits("printed")).alias("amount"))
+
+
 def amounts_formatted_inr(spark: SparkSession, d: str) -> DataFrame:
     """H1: balances and totals in Indian grouping."""
     return table(spark, d, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", inr(F.col("o_totalprice").cast("decimal(18,2)") * F.when(F.col("o_orderkey") % 3 == 0, -1).otherwise(1)).alias("text"))
@@ -118,7 +124,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         statement_sections, page_section_join, statement_transactions, statement_totals, statement_top3, statement_reconcile, statement_periods,
-        statement_holders, statement_banks, statement_facts, return_segments, return_facts, return_identity, dates_parsed, amounts_parsed, amounts_formatted_inr,
+        statement_holders, statement_banks, statement_facts, return_segments, return_facts, return_identity, dates_parsed, amounts_parsed, amounts_all, amounts_formatted_inr,
     )
 }
 
