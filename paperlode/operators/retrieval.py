@@ -78,6 +78,67 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: list[float], k: in
     return d.withColumn("similarity", cosine(F.col(vector), q)).where("similarity is not null").orderBy(F.desc("similarity"), key).limit(k)
 
 
+#: Vectors a block of an exact search holds on either side.
+BLOCK = 2048
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, cond: Column | None = None) -> DataFrame:
+    """query_id, vec_id, similarity: for every row of ``queries``, the k rows of ``vectors`` most similar to it
+    among those the filter admits (itself too, if it is one of them). Exact, in matrix products of block by block;
+    similarities equal to 12 decimals are ties, won by the smaller key. Null, empty and all-zero vectors and ones with
+    a null or NaN in them take no part; only vectors of one length are compared. Copies of a row count once."""
+    spark = vectors.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def blocks(d: DataFrame, side: str) -> tuple[DataFrame, int]:
+        bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")))
+        usable = d.where(F.col(key).isNotNull() & ~bad & F.exists(vector, lambda x: x != 0))
+        v = usable.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).dropDuplicates(["id"])
+        # rows of about one block each; the block of a row follows from its key alone
+        n = max(1, -(-v.count() // BLOCK))
+        grouped = v.groupBy(F.size("v").alias(f"{side}_dim"), F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"))
+        return grouped.agg(F.collect_list(F.struct("id", "v")).alias("rows")).select(f"{side}_dim", F.col("rows.id").alias(f"{side}_ids"), F.flatten("rows.v").alias(f"{side}_values")), n
+
+    q, nq = blocks(queries, "q")
+    v, nv = blocks(vectors.where(cond) if cond is not None else vectors, "v")
+    # no equality the engine could shuffle by: nearly all vectors have one length
+    pairs = q.join(v, F.col("q_dim") - F.col("v_dim") == 0).select("q_dim", "q_ids", "q_values", "v_ids", "v_values")
+    pairs = pairs.repartition(max(parts, spark.sparkContext.defaultParallelism, nq * nv // 8))  # a few pairs a task, as a pair is some MB
+    best = pairs.mapInArrow(_best_of_blocks(k), "query_id bigint, vec_id bigint, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "vec_id")
+    return best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
+
+
+def _best_of_blocks(k: int):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def unit(flat, dim):
+            x = flat.values.to_numpy(zero_copy_only=False).reshape(-1, dim)
+            x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow, nor a length of zero
+            return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+        for b in batches:
+            for i in range(b.num_rows):
+                dim, qi, qv, vi, vv = (b.column(c)[i] for c in range(5))
+                q, v = unit(qv, dim.as_py()), unit(vv, dim.as_py())
+                q_ids, v_ids = (x.values.to_numpy(zero_copy_only=False) for x in (qi, vi))
+                s = np.round(q @ v.T, 12)
+                n = min(k, len(v_ids))
+                # all that reach the n-th best similarity, so that ties are settled by key
+                least = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+                rows, at = np.nonzero(s >= least[:, None])
+                o = np.lexsort((v_ids[at], -s[rows, at], rows))
+                rows, at = rows[o], at[o]
+                starts = np.searchsorted(rows, np.arange(len(q_ids)))
+                keep = np.arange(len(rows)) - starts[rows] < n
+                rows, at = rows[keep], at[keep]
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[rows], pa.int64()), "vec_id": pa.array(v_ids[at], pa.int64()), "similarity": pa.array(s[rows, at], pa.float64())})
+
+    return run
+
+
 def hash_embedding(text: Column) -> Column:
     """An offline stand-in for an embedding model: keywords hashed into 256 counts, scaled to unit length."""
     words = keywords(F.coalesce(text, F.lit("")))

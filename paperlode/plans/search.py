@@ -35,12 +35,25 @@ def keyword_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def knn_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The ten vectors most similar to the first of label 0, among those of the labels up to 4."""
+    """The ten vectors most similar to the one of the smallest vec_id, among those of the labels up to 4, as its
+    SQL does; :func:`knn_cosine_all` has every query row against all rows."""
     v = table(spark, d, "embeddings", "vec_id", "embedding", "label")
     q = v.orderBy("vec_id").limit(1).first()  # the query itself
     return retrieval.nearest(v, "vec_id", "embedding", q.embedding, 10, F.col("label") <= 4).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+def knn_cosine_all(spark: SparkSession, d: str) -> DataFrame:
+    """For every row whose vec_id is divisible by 50, the ten most similar of all rows."""
+    v = table(spark, d, "embeddings", "vec_id", "embedding")
+    return retrieval.nearest_of_each(v, v.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+
+
+def knn_cosine_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The same among the rows of the labels up to 4."""
+    v = table(spark, d, "embeddings", "vec_id", "embedding", "label")
+    return retrieval.nearest_of_each(v, v.where("vec_id % 50 = 0"), "vec_id", "embedding", 10, F.col("label") <= 4)
+
+
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     """The five best chunks by similarity and keywords together."""
     return retrieval.hybrid(_chunks(spark, d), QUESTION).select("chunk_id", F.round("score", 6).alias("score"))
@@ -201,7 +214,7 @@ def tables_markdown(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, keyword_counts, knn_cosine_topk, hybrid_topk, filtered_hybrid_topk, context_budget_cut, citation_labels, question_intents, model_routes, quick_bank_answers, quick_return_answers, facts_rendered, fact_summaries, hits_facts,
+        bm25_topk, keyword_counts, knn_cosine_topk, knn_cosine_all, knn_cosine_labels, hybrid_topk, filtered_hybrid_topk, context_budget_cut, citation_labels, question_intents, model_routes, quick_bank_answers, quick_return_answers, facts_rendered, fact_summaries, hits_facts,
         nearest_column, asof_record, nearest_record, median_gap, header_labels, column_kinds, heading_levels, words_outside, fallback_pages, geometry_reconcile, tables_markdown,
     )
 }
