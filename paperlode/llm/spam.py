@@ -1,8 +1,10 @@
-"""Keyword-stuffed pages, link lists and product tags, told from prose and records by the share of text they cover.
+"""Keyword-stuffed pages, link lists and product tags, told from prose and records by shares calibrated per language.
 
-Each text is cut into lines and sentences. Link items, tag lists and repeated key phrases are marked; top-word,
-n-gram, duplicate-line and link shares, separator density and the share of function words are measured over all
-texts of a language first, so that the thresholds follow what is usual in that language.
+Each text is cut into segments of running words. For every segment six shares are measured: its top content words,
+words in n-grams the text repeats, duplicate lines and list items, link text, separators and function words of the
+text's language. What is usual for a language comes from the quantiles of the segments of all its documents; a segment
+is stuffed if enough of its shares lie beyond the thresholds that follow from them, and a page if more than half of
+its characters lie in such segments.
 """
 
 from __future__ import annotations
@@ -10,10 +12,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperlode.session import checkpoint, widen
@@ -27,188 +30,267 @@ FUNCTION_WORDS = {
     "mr": "आणि आला आली आले आहे आहेत असून करण्यात का की च ज्या तो ती ते त्या नाही पूर्वी ही हा हे होता होती व या येईल येथे जाईल भरावा देईल",
     "ta": "அன்று அது அந்த ஆகும் இது இந்த உள்ள உள்ளது என என்று ஒரு கொண்டு செலுத்தப்படும் செலுத்தப்பட்டது செய்யப்பட்டது மற்றும் முன் வேண்டும் அமைந்துள்ளது",
 }
-_FUNCTION = {w for words in FUNCTION_WORDS.values() for w in words.split()}
+_FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_ANY = frozenset().union(*_FUNCTION.values())
+# Scripts that tell a language, or the languages that share one.
+_SCRIPTS = ((re.compile(r"[஀-௿]"), ("ta",)), (re.compile(r"[ऀ-ॿ]"), ("hi", "mr")), (re.compile(r"[A-Za-zÀ-ÿ]"), ("en", "de", "fr")))
+# Labels of a language beside its first two letters.
+_LABELS = {"eng": "en", "english": "en", "deu": "de", "ger": "de", "german": "de", "fra": "fr", "fre": "fr", "french": "fr", "hin": "hi", "hindi": "hi", "mar": "mr", "marathi": "mr", "tam": "ta", "tamil": "ta"}
 
-_LINK = re.compile(r"<a\b[^>]*>[^<]*</a>|\[[^\]\n]{0,80}\]\([^)\s]+\)|(?:https?://|www\.)[^\s<>()|,]+")
-_BEFORE = re.compile(r"[^\W\d_][\w'-]*(?: [^\W\d_][\w'-]*){0,4}: ?$")
-_HASHTAG = re.compile(r"(?<!\w)#[^\W\d_][\w-]*")
+_LINK = re.compile(r"<a\b[^<>]*>[^<]*</a>|\[[^\[\]\n]*\]\([^()\s]+\)|(?:https?://|www\.)[^\s<>()|,]+|(?<!\w)#[^\W\d_][\w-]*")
+_LABELLED = re.compile(r"[^\W\d_][\w'-]*(?: [^\W\d_][\w'-]*){0,4}: ?$")
 _WORD = re.compile(r"[^\W_][\w'ऀ-෿-]*")
-_SENTENCE = re.compile(r"(?<=[.!?।])[\s]+")
-_ENDS = re.compile(r"[.!?।…]['\")\]]*$")
 _SEPARATOR = re.compile(r"[,;|/>•·»]|(?<=\s)-(?=\s)|\t+")
-_LABEL = re.compile(r"^[^\W\d_]+(?: [^\W\d_]+)?\s*:\s*")
-
+_ITEM = re.compile(r"[,;|/>•·»:]|(?<=\s)-(?=\s)|\t+|[.!?।]+(?:\s|$)")
+# What begins a row of product codes, and a row of tags.
 _CODES = re.compile(r"^(?:SKU|EAN|UPC|ASIN|MPN)s?[:#]?(?:[\s,;|]+[A-Z]*-?\d[\w-]*){3,}$")
+_TAGS = re.compile(r"^(?:Tags?|Keywords?|Labels?|Categories|Topics)\s*:", re.I)
+
+#: Words of a segment; most words of a list item; occurrences that make an n-gram or an item repeated; content words
+#: counted as the top ones.
+WINDOW, PHRASE, REPEATED, TOPS = 40, 5, 3, 5
+SHARES = ("top_word", "ngrams", "dup_lines", "links", "separators", "function_words", "numbers")
+#: A share scores one where it lies SPREAD times as far above its language's median as the upper quartile does, within
+#: these bounds; function words score one where they lie LOW times as far below their median as the lower quartile.
+SPREAD, LOW = 4.0, 2.0
+BOUNDS = {"top_word": (0.5, 0.65), "ngrams": (0.35, 0.7), "dup_lines": (0.25, 0.7), "links": (0.15, 0.5), "separators": (0.2, 0.5)}
+#: Most that a share may score; the sum that makes a segment stuffed, and what repetition and links add to it at least.
+MOST = {"top_word": 2, "ngrams": 2, "dup_lines": 2, "links": 1, "separators": 1, "function_words": 2}
+SCORE, REPETITION = 3.5, 1.0
+#: Link text that makes a segment stuffed alone; most tokens with digits of a segment that is no record; the share of a
+#: page's characters that stuffed segments must exceed.
+LINKED, NUMBERS, MORE_THAN = 0.5, 0.12, 0.5
+#: Quartiles of a language of which nothing is known yet, and how many segments they count as against those seen.
+PRIOR = {"top_word": (0.13, 0.17, 0.22), "ngrams": (0.0, 0.15, 0.35), "dup_lines": (0.0, 0.0, 0.0), "links": (0.0, 0.0, 0.0), "separators": (0.05, 0.1, 0.15), "function_words": (0.2, 0.25, 0.3)}
+PRIOR_FUNCTION = {"en": (0.29, 0.35, 0.39), "de": (0.31, 0.36, 0.4), "fr": (0.28, 0.32, 0.38), "hi": (0.11, 0.16, 0.21), "mr": (0.17, 0.2, 0.24), "ta": (0.18, 0.21, 0.25)}
+PRIOR_SEGMENTS = 20
+
+FEATURES = (*(s for s in SHARES if s != "numbers"), "stuffed")
+Usual = dict[str, tuple[float, float, float]]
+
+
+def language(label: str | None, text: str, words: list[str]) -> str:
+    """One name per language: by the script that most of the whole text is in; where languages share it, by the label
+    if it names one of them, else by the language with most function words in the text; else the label's first two
+    letters, ``un`` where there is none."""
+    tag = (label or "").strip().lower()
+    tag = _LABELS.get(tag, tag[:2])
+    tag = tag if re.fullmatch("[a-z]{2}", tag) else "un"
+    counts = [(len(p.findall(text)), names) for p, names in _SCRIPTS]
+    most, names = max(counts, key=lambda c: c[0])
+    if not most:
+        return tag
+    if tag in names or len(names) == 1:
+        return tag if tag in names else names[0]
+    hits = {n: sum(w in _FUNCTION[n] for w in words) for n in names}
+    best = max(names, key=hits.__getitem__)
+    return best if hits[best] else (tag if tag not in _FUNCTION else names[0])
 
-#: Most words of a key phrase; items that make a list; occurrences that make a phrase repeated; share of a text.
-PHRASE, ITEMS, REPEATED, MORE_THAN = 5, 4, 3, 0.5
-#: Words of a window of running text, the step between windows and the fewest words of one; the shares that make it
-#: stuffed: least of words in repeated pairs and of its top word, most of distinct words, function words and numbers.
-WINDOW, STEP, FEWEST = 40, 10, 12
-PAIRED, TOP, DISTINCT, FUNCTION, NUMBERS = 0.7, 0.13, 0.65, 0.3, 0.1
-#: Most words before a danda that may be a key phrase.
-SENTENCE = 7
-
-FEATURES = ("top_word", "ngrams", "dup_lines", "links", "separators", "function_words", "stuffed")
-
-
-def _stuffed_words(words: list[str]) -> list[bool]:
-    """For each word of a running text, whether it belongs to repeated key phrases by the shares of a window alone:
-    nearly all words stand in pairs that the text repeats, few are distinct, few are function words or numbers. Full
-    stops do not matter, so that key phrases cannot pass as sentences."""
-    n, out = len(words), [False] * len(words)
-    if n < FEWEST:
-        return out
-    pairs = Counter(zip(words, words[1:], strict=False))
-    paired = [False] * n
-    for i in range(n - 1):
-        if pairs[words[i], words[i + 1]] >= REPEATED:
-            paired[i] = paired[i + 1] = True
-    before = [0, *accumulate(paired)]
-    for a in sorted({*range(0, max(1, n - WINDOW + 1), STEP), max(0, n - WINDOW)}):
-        b = min(n, a + WINDOW)
-        size = b - a
-        if before[b] - before[a] < PAIRED * size:
+
+def _tags(line: str) -> bool:
+    """Whether a line is a row of four or more short items without digits, joined by ``>`` or named as tags."""
+    named = _TAGS.match(line)
+    if not named and (line.count(">") < 3 or "<" in line):
+        return False
+    items = [x.strip() for x in re.split(r"[,;|>]", line[named.end() :] if named else line)]
+    return len(items) >= 4 and all(i and i.count(" ") < PHRASE and not any(c.isdigit() for c in i) for i in items)
+
+
+def _parts(text: str) -> Iterator[list[tuple[str, int, str]]]:
+    """The paragraphs of a text (between blank lines) as parts: (kind, characters, text); link items, hashtags, rows of
+    product codes and trails of tags are ``link``, all else is ``text``."""
+    held: list[tuple[str, int, str]] = []
+    for line in text.splitlines():
+        line = line.strip()
+        if not line:
+            if held:
+                yield held
+            held = []
             continue
-        c = Counter(words[a:b])
-        if (
-            len(c) <= DISTINCT * size
-            and max(c.values()) >= TOP * size
-            and sum(k for w, k in c.items() if w in _FUNCTION) <= FUNCTION * size
-            and sum(k for w, k in c.items() if w[0].isdigit()) <= NUMBERS * size
-        ):
-            out[a:b] = [x or y for x, y in zip(out[a:b], paired[a:b], strict=True)]
-    return out
-
-
-def features(text: str | None) -> dict[str, float]:
-    """Shares of a text, from 0 to 1: of its most frequent word, words in repeated n-grams, duplicate lines, link
-    text, separators, function words, and of all characters in link items, tag lists or repeated key phrases."""
-    zero = dict.fromkeys(FEATURES, 0.0)
-    if not text or not text.strip():
-        return zero
-    total = linked = spam = 0
-    loose: list[tuple[int, int, list[str], str]] = []  # units that might be key phrases: place, size and words
-    units: list[tuple[int, list[str]]] = []  # all units of running text: size and words
-    lines = [x.strip() for x in text.splitlines() if x.strip()]
-    words_all = _WORD.findall(text.lower())
-    separators = len(_SEPARATOR.findall(text))
-    for line in lines:
-        size = sum(map(len, line.split()))
-        total += size
-        rest = line
+        if _CODES.match(line) or _tags(line):
+            held.append(("link", sum(map(len, line.split())), ""))
+            continue
+        end = 0
         if "://" in line or "www." in line or "<a" in line or "#" in line:
-            cut, kept, end = 0, [], 0
             for m in _LINK.finditer(line):
                 start = m.start()
-                if line[start] in "hw" and (label := _BEFORE.search(line[max(end, start - 60) : start])):
-                    start -= len(label.group())  # "Name: link" is one item
-                cut += len("".join(line[start : m.end()].split()))
-                kept.append(line[end:start])
+                if line[start] in "hw<" and (label := _LABELLED.search(line, max(end, line.rfind("  ", 0, start)), start)):
+                    start = label.start()  # "Name: link" is one item
+                if (rest := line[end:start]).strip():
+                    held.append(("text", sum(map(len, rest.split())), rest))
+                held.append(("link", sum(map(len, line[start : m.end()].split())), ""))
                 end = m.end()
-            linked += cut
-            rest = " \n ".join([*kept, line[end:]])
-            tags = sum(len(m.group()) for m in _HASHTAG.finditer(rest))
-            rest = _HASHTAG.sub(" \n ", rest)
-            spam += cut + tags
-            if cut + tags and not _WORD.search(rest):
-                spam += size - cut - tags  # bullets and commas between links
-                continue
-        if rest[0] in "|#":
-            continue
-        for unit in (u for part in rest.split("\n") for u in _SENTENCE.split(part)):
-            unit = unit.strip()
-            words = _WORD.findall(unit.lower())
-            # a danda ends sentences only; more words than a key phrase with its place and call has are one
-            units.append((sum(map(len, unit.split())), [] if unit.endswith("।") and len(words) > SENTENCE else words))
-            if not unit or (unit[-1] in ".!?।" and not _FUNCTION.isdisjoint(unit.lower().split()) and unit.count(" ") > 2):
-                continue
-            if not words or _ENDS.search(unit) and len(words) > 3 and not _FUNCTION.isdisjoint(words):
-                continue
-            if _CODES.match(unit):
-                loose.append((len(units) - 1, units[-1][0], [], unit))
-                continue
-            digits = sum(w[0].isdigit() for w in words)
-            known = sum(w in _FUNCTION for w in words)
-            if digits * 10 > len(words) or known > 0.2 * len(words) or (_ENDS.search(unit) and len(words) > 6 and known):
+        if (rest := line[end:]).strip():
+            held.append(("text", sum(map(len, rest.split())), rest))
+    if held:
+        yield held
+
+
+def segments(text: str | None, label: str | None = None) -> tuple[str, list[tuple[float, ...]]]:
+    """The text's language and its segments: (characters without white space, *SHARES), shares from 0 to 1.
+
+    A segment is a run of up to ``WINDOW`` words of one paragraph (a link item counts as one word). Repetition is
+    judged over the whole text. Null, empty and blank texts have no segments.
+    """
+    if not text or not text.strip():
+        return language(label, "", []), []
+    lowered = text.lower()
+    words_all = _WORD.findall(lowered)
+    lang = language(label, text, words_all)
+    function = _FUNCTION.get(lang, frozenset())
+    pairs = Counter(pairwise(words_all))
+    repeated = {p for p, n in pairs.items() if n >= REPEATED}
+    paragraphs = list(_parts(text))
+    items: Counter = Counter()
+    for p in paragraphs:
+        for kind, _, t in p:
+            if kind == "text":
+                items.update(i for x in _ITEM.split(t) if (i := x.strip().lower()))
+    often = {i for i, n in items.items() if n >= REPEATED and i.count(" ") < PHRASE and not i.isdigit()}
+    out: list[tuple[float, ...]] = []
+
+    def close(group: list[tuple[str, int, str]]) -> None:
+        size = sum(n for _, n, _ in group)
+        linked = sum(n for kind, n, _ in group if kind == "link")
+        # neighbouring parts are one run of words, so that n-grams go over the line's end; links end a run
+        runs: list[list[str]] = [[]]
+        dup = seps = tokens = bare = digits = 0
+        for kind, _, t in group:
+            if kind == "link":
+                runs.append([])
                 continue
-            loose.append((len(units) - 1, units[-1][0], words, unit))
-    counts = Counter(words_all)
-    stuffed: set[int] = set()
-    if loose:
-        # phrases of two and three words inside the units that may be stuffed, counted over the whole text
-        grams: Counter = Counter()
-        for _, _, words, unit in loose:
-            for item in _SEPARATOR.split(_LABEL.sub("", unit)):
-                w = _WORD.findall(item.lower())
-                if 0 < len(w) <= PHRASE:
-                    grams[" ".join(w)] += 1
-            for i in range(len(words) - 1):
-                grams[words[i], words[i + 1]] += 1
-        for at, _, words, unit in loose:
-            items = [i for i in map(str.strip, _SEPARATOR.split(_LABEL.sub("", unit))) if i]
-            short = [i for i in items if len(i.split()) <= PHRASE]
-            listed = len(items) >= ITEMS and len(short) == len(items)
-            tagged = listed and (_LABEL.match(unit) or ">" in unit or "|" in unit)
-            whole = sum(grams[" ".join(_WORD.findall(i.lower()))] >= REPEATED for i in items) / max(1, len(items))
-            pairs = sum(grams[words[i], words[i + 1]] >= REPEATED for i in range(len(words) - 1)) / max(1, len(words) - 1)
-            if _CODES.match(unit) or (listed and (whole >= 0.5 or tagged)) or whole >= 0.75 or (len(words) > 2 and pairs >= 0.6):
-                stuffed.add(at)
-    marked, at = _stuffed_words([w for _, words in units for w in words]), 0
-    for i, (size, words) in enumerate(units):
-        if i in stuffed or sum(marked[at : at + len(words)]) * 2 > len(words):
-            spam += size
-        at += len(words)
-    n = max(1, len(words_all))
-    repeated = sum(c for c in Counter(zip(words_all, words_all[1:], strict=False)).values() if c >= REPEATED)
-    return {
-        "top_word": (counts.most_common(1)[0][1] / n) if counts else 0.0,
-        "ngrams": repeated / max(1, len(words_all) - 1),
-        "dup_lines": 1 - len(set(lines)) / len(lines),
-        "links": min(1.0, linked / max(1, total)),
-        "separators": min(1.0, separators / n),
-        "function_words": sum(counts[w] for w in _FUNCTION) / n,
-        "stuffed": min(1.0, spam / max(1, total)),
-    }
-
-
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("words", pa.int32()), *((f, pa.float64()) for f in FEATURES)])
+            runs[-1] += _WORD.findall(t.lower())
+            seps += len(_SEPARATOR.findall(t))
+            for x in t.split():
+                tokens += any(c.isalnum() for c in x)
+                digits += any(c.isdigit() for c in x)
+            for x in _ITEM.split(t):
+                if i := x.strip().lower():
+                    bare += len(i)
+                    dup += len(i) if i in often else 0
+        words = [w for r in runs for w in r]
+        n = max(1, len(words))
+        covered = 0
+        for r in runs:
+            hit = [p in repeated for p in pairwise(r)]
+            covered += sum(a or b for a, b in zip([*hit, False], [False, *hit], strict=True)) if len(r) > 1 else 0
+        content = Counter(w for w in words if w not in function and not w[0].isdigit())
+        top = sum(c for _, c in content.most_common(TOPS)) if len(content) and n >= 2 * TOPS else 0
+        known = sum(w in (function or _ANY) for w in words)
+        out.append((float(size), top / n, covered / n, dup / max(1, bare), linked / max(1, size), min(1.0, seps / n), known / n, digits / max(1, tokens)))
+
+    for p in paragraphs:
+        group: list[tuple[str, int, str]] = []
+        held = 0
+        for kind, size, t in p:
+            if kind == "link":
+                group.append((kind, size, t))
+                held += 1
+            else:
+                tokens = t.split()
+                for lo in range(0, len(tokens), WINDOW):
+                    part = tokens[lo : lo + WINDOW]
+                    if held and held + len(part) > WINDOW:
+                        close(group)
+                        group, held = [], 0
+                    group.append((kind, sum(map(len, part)), " ".join(part)))
+                    held += len(part)
+            if held >= WINDOW:
+                close(group)
+                group, held = [], 0
+        if group:
+            close(group)
+    return lang, out
+
+
+def prior(lang: str) -> Usual:
+    """The quartiles a language is taken to have before any of its texts is seen."""
+    return PRIOR | ({"function_words": PRIOR_FUNCTION[lang]} if lang in PRIOR_FUNCTION else {})
+
+
+def calibrated(lang: str, quartiles: Usual, seen: float) -> Usual:
+    """Quartiles of ``seen`` segments mixed with the prior, so that a language of few texts is judged by it."""
+    w = seen / (seen + PRIOR_SEGMENTS)
+    return {f: tuple(w * q + (1 - w) * p for q, p in zip(quartiles[f], values, strict=True)) for f, values in prior(lang).items()}
+
+
+def stuffed(shares: dict[str, np.ndarray], usual: Usual) -> np.ndarray:
+    """For each segment whether it is stuffed: its shares beyond those usual for its language."""
+    total, repetition = np.zeros(len(shares["links"])), np.zeros(len(shares["links"]))
+    for f, (least, most) in BOUNDS.items():
+        _, middle, upper = usual[f]
+        high = min(most, max(least, middle + SPREAD * (upper - middle)))
+        score = np.clip((shares[f] - middle) / max(0.05, high - middle), 0, MOST[f])
+        total += score
+        if f in ("ngrams", "dup_lines", "links"):
+            repetition += score
+    lower, middle, _ = usual["function_words"]
+    if middle >= 0.05:
+        total += np.clip((middle - shares["function_words"]) / min(0.6 * middle, max(0.25 * middle, LOW * (middle - lower))), 0, MOST["function_words"])
+    return ((total >= SCORE) & (repetition >= REPETITION) & (shares["numbers"] <= NUMBERS)) | (shares["links"] > LINKED)
+
+
+def features(text: str | None, label: str | None = None, usual: Usual | None = None) -> dict[str, float]:
+    """The shares of a whole text, weighted by the characters of its segments, and the share of its characters in
+    stuffed segments; without ``usual`` a segment is judged by the prior."""
+    lang, found = segments(text, label)
+    rows = np.array(found, dtype=float).reshape(-1, 1 + len(SHARES))
+    if not len(rows):
+        return dict.fromkeys(FEATURES, 0.0)
+    size = rows[:, 0] / rows[:, 0].sum()
+    shares = {f: rows[:, i + 1] for i, f in enumerate(SHARES)}
+    out = {f: float(min(1.0, (size * shares[f]).sum())) for f in FEATURES[:-1]}
+    return out | {"stuffed": float(min(1.0, size[stuffed(shares, usual or prior(lang))].sum()))}
+
+
+_SEGMENT = pa.struct([(f, pa.float32()) for f in ("size", *SHARES)])
+_MEASURED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("segments", pa.list_(_SEGMENT))])
+_SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *((f, pa.float64()) for f in FEATURES)])
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column(2).to_pylist()
-        rows = [features(t) for t in texts]
-        columns = [b.column(0), b.column(1), pa.array([len(t.split()) if t else 0 for t in texts], pa.int32())]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[f] for r in rows], pa.float64()) for f in FEATURES)], schema=_SCHEMA)
+        measured = [segments(t, lang) for t, lang in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        rows = np.array([r for _, rs in measured for r in rs], dtype=np.float32).reshape(-1, 1 + len(SHARES))
+        offsets = np.cumsum([0, *(len(rs) for _, rs in measured)], dtype=np.int32)
+        values = pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(rows.shape[1])], fields=list(_SEGMENT))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in measured], pa.string()), pa.ListArray.from_arrays(pa.array(offsets), values)], schema=_MEASURED)
 
 
-def language(lang: Column, text: Column) -> Column:
-    """One name per language: by script where a script has one here, else by the first two letters of the label."""
-    head = F.substring(text, 1, 2000)
-    return (
-        F.when(F.regexp_count(head, F.lit(r"[஀-௿]")) > 20, "ta")
-        .when(F.regexp_count(head, F.lit(r"[ऀ-ॿ]")) > 20, F.when(F.lower(lang).startswith("mr"), "mr").otherwise("hi"))
-        .otherwise(F.coalesce(F.substring(F.lower(F.trim(lang)), 1, 2), F.lit("un")))
-    )
+def _judge(usual: dict[str, Usual]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            column, langs = b.column(2), np.array(b.column(1).to_pylist(), dtype=object)
+            counts = np.diff(column.offsets.to_numpy())
+            flat = column.flatten()
+            of = np.repeat(np.arange(b.num_rows), counts)
+            size, *rest = (flat.field(i).to_numpy(zero_copy_only=False).astype(float) for i in range(1 + len(SHARES)))
+            shares = dict(zip(SHARES, rest, strict=True))
+            hit = np.zeros(len(size), bool)
+            for lang in set(langs):
+                at = np.flatnonzero((langs == lang)[of])
+                hit[at] = stuffed({f: v[at] for f, v in shares.items()}, usual.get(lang) or prior(lang))
+            whole = np.maximum(np.bincount(of, size, b.num_rows), 1)
+            columns = [np.minimum(1.0, np.bincount(of, size * (hit if f == "stuffed" else shares[f]), b.num_rows) / whole) for f in FEATURES]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, columns)], schema=_SCORED)
+
+    return run
 
 
 def scored(documents: DataFrame) -> DataFrame:
     """doc_id, lang and the shares of :func:`features` of every document, with the verdict ``stuffed_page``.
 
-    A page is stuffed if more than half of its characters (without white space) lie in link items, tag lists or
-    repeated key phrases, and its language's usual values confirm it: links or hashtags, a top word, repeated
-    n-grams or separators above the language's median, or fewer function words than that. Medians are taken over
-    all documents of a language. Null, empty and blank texts are no cases; a null lang is one language of its own.
+    A segment is stuffed if the scores of its shares (how far each lies beyond the quartiles of its language) sum up,
+    repetition or links among them, or if most of it is links; a page is if more than half of its characters (without
+    white space) lie in such segments. Quartiles are taken over the segments of all documents of a language that are
+    no records. Null, empty and blank texts are no cases; rows stay rows.
     """
-    d = documents.select("doc_id", language(F.col("lang"), F.coalesce("text", F.lit(""))).alias("lang"), "text")
-    rows = checkpoint(widen(d).mapInArrow(_measure, "doc_id bigint, lang string, words int, " + ", ".join(f"{f} double" for f in FEATURES)))
-    usual = rows.where("words >= 8").groupBy("lang").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"usual_{f}") for f in FEATURES[:-1]))
-    confirmed = (
-        (F.col("links") > F.col("usual_links") + 0.3)
-        | (F.col("top_word") > F.col("usual_top_word"))
-        | (F.col("ngrams") > F.col("usual_ngrams"))
-        | (F.col("separators") > F.col("usual_separators"))
-        | (F.col("function_words") < F.col("usual_function_words"))
-    )
-    return rows.join(usual, "lang", "left").withColumn("stuffed_page", (F.col("stuffed") > MORE_THAN) & F.coalesce(confirmed, F.lit(True)))
+    d = documents.select("doc_id", "lang", "text")
+    rows = checkpoint(widen(d).mapInArrow(_measure, "doc_id bigint, lang string, segments array<struct<" + ", ".join(f"{f}: float" for f in ("size", *SHARES)) + ">>"))
+    each = rows.select("lang", F.inline("segments")).where(F.col("numbers") <= NUMBERS)
+    quartiles = each.groupBy("lang").agg(F.count(F.lit(1)).alias("seen"), *(F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f) for f in PRIOR))
+    # one row a language, and a language is two letters
+    usual = {r.lang: calibrated(r.lang, {f: tuple(r[f]) for f in PRIOR}, r.seen) for r in quartiles.collect()}
+    return rows.mapInArrow(_judge(usual), "doc_id bigint, lang string, " + ", ".join(f"{f} double" for f in FEATURES)).withColumn("stuffed_page", F.col("stuffed") > MORE_THAN)
