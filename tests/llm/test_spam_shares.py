@@ -31,7 +31,7 @@ def test_every_share_has_its_part():
 
 def test_thresholds_follow_the_language():
     repeated = {f: (a, b, c) for f, (a, b, c) in spam.prior("de").items()} | {"ngrams": (0.5, 0.65, 0.8)}
-    shares = {"top_word": np.array([0.4]), "ngrams": np.array([0.68]), "dup_lines": np.array([0.25]), "links": np.array([0.0]), "separators": np.array([0.12]), "function_words": np.array([0.29]), "numbers": np.array([0.0])}
+    shares = {"top_word": np.array([0.4]), "ngrams": np.array([0.68]), "dup_lines": np.array([0.25]), "links": np.array([0.0]), "separators": np.array([0.14]), "function_words": np.array([0.29]), "numbers": np.array([0.0])}
     assert spam.stuffed(shares, spam.prior("de"))[0] and not spam.stuffed(shares, spam.calibrated("de", repeated, 5000))[0]
 
 
