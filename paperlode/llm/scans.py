@@ -12,9 +12,10 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlode.session import checkpoint
@@ -168,30 +169,42 @@ def number(word: str) -> str | None:
     return m[1] + "".join(AS_DIGIT.get(c, c) for c in body) + (m[3] or "")
 
 
+#: Doubtful characters of a word that are read each on its own; beyond it one reading holds for all equal ones.
+MARKS = 3
+#: Letters of the longest word that may be a misread one of letters only; longer runs are codes, not words.
+LONGEST = 64
+
+
 def suspects(word: str) -> list[tuple[str, int]]:
     """Words this one may have been printed as: (word, rank); rank 1 undoes characters no word has, 2 letters only."""
     letters = sum(c.isalpha() for c in word)
-    if letters < 2 or len(word) > 40 or "@" in word or "://" in word:
+    if letters < 2 or "@" in word or "://" in word:
         return []
     marks = [i for i, c in enumerate(word) if c in "015689!|"]
-    if len(marks) > 3 or (marks and letters < len(marks)):
+    if marks and letters < len(marks):
         return []
     forms = {word: 0}
     shouted = sum(c.isupper() for c in word) * 2 > letters and letters > 2
-    for i in marks:  # every such character has to go
-        grown = {}
-        for f in forms:
-            for read, printed in CONFUSIONS:
-                if read == word[i]:
-                    if len(printed) == 1:
+    if len(marks) <= MARKS:
+        for i in marks:  # every such character has to go
+            grown = {}
+            for f in forms:
+                for read, printed in CONFUSIONS:
+                    if read == word[i] and len(printed) == 1:
                         p = printed.upper() if shouted else printed
                         grown[f[:i] + p + f[i + 1 :]] = 1
                         if i == 0:
                             grown[p.upper() + f[1:]] = 1
-        forms = grown
+            forms = grown
+    else:  # one letter for each character, the same throughout the word
+        kinds = sorted(set(word) & set("015689!|"))
+        for letters_of in product(*([p for read, p in CONFUSIONS if read == c and len(p) == 1] for c in kinds)):
+            f = word.translate(str.maketrans(dict(zip(kinds, letters_of, strict=True))))
+            forms[f.upper() if shouted else f] = 1
+        forms.pop(word)
     out = dict(forms) if marks else {}
     for f in forms:
-        if not f.isascii():
+        if not f.isascii() or len(f) > LONGEST:
             continue
         for read, printed in CONFUSIONS:
             if read.isalpha():
@@ -253,10 +266,11 @@ def _label(m: dict):
                     if s != "body":
                         put(d, n, s, i + 1, "", "")
                 joined = ""  # what a line before has taken from this one
+                opens, hangs, hangs_at = "", "", 0
                 for k, i in enumerate(text):
                     tokens = lines[i].split()
                     if k == 0:
-                        put(d, n, "opens", i + 1, core(tokens[0]) or tokens[0], "")
+                        opens = core(tokens[0]) or tokens[0]
                     if joined:
                         tokens = tokens[1:]
                         joined = ""
@@ -272,9 +286,11 @@ def _label(m: dict):
                                 joined = nxt
                                 tokens = tokens[:-1]
                         else:
-                            put(d, n, "hangs", i + 1, left + "\x1f" + last[-1], "")
+                            hangs, hangs_at = left + "\x1f" + last[-1], i + 1
                             tokens = tokens[:-1]
                     put(d, n, "words", i + 1, "\x1f".join({t.lstrip(_LEAD).rstrip(_TRAIL) for t in tokens}), "")
+                if text:
+                    put(d, n, "page", hangs_at, opens, hangs)
             yield pa.RecordBatch.from_pydict(out, schema=_LABELLED)
 
     return run
@@ -290,12 +306,12 @@ def pages(pages_in: DataFrame, shard_results: DataFrame) -> DataFrame:
 
 
 def labelled(p: DataFrame) -> DataFrame:
-    """Labels and words of all pages (see ``_label``): headers, page numbers, the
-    words of a line joined by unit separators, broken and hanging words."""
+    """Labels and words of all pages (see ``_label``): headers, page numbers, the words of a line joined by unit
+    separators, broken words, and of each page its first word (a) and the part of a word that hangs at its end (b)."""
     edges = p.mapInArrow(_edges, "doc_id string, page_no int, key string")
     again = edges.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "key")
-    known = edges.join(again, ["doc_id", "key"], "left_semi").groupBy("doc_id", "page_no").agg(F.collect_set("key").alias("repeated"))
-    seen = checkpoint(p.join(known, ["doc_id", "page_no"], "left").select("doc_id", "page_no", "md", "repeated"))
+    known = edges.join(again.hint("merge"), ["doc_id", "key"], "left_semi").groupBy("doc_id", "page_no").agg(F.collect_set("key").alias("repeated"))
+    seen = checkpoint(p.join(known.hint("merge"), ["doc_id", "page_no"], "left").select("doc_id", "page_no", "md", "repeated"))
     counts = {(r.t, r.s, r.v): float(r.n) for r in seen.mapInArrow(_count, "t string, s string, v string, n bigint").groupBy("t", "s", "v").agg(F.sum("n").alias("n")).collect()}
     return checkpoint(seen.mapInArrow(_label(model(counts)), LABELLED))
 
@@ -317,10 +333,11 @@ TIMES, LEAST = 5, 4
 
 
 def fixes(words: DataFrame) -> DataFrame:
-    """word -> fixed for the misread words of a table of words and counts (word, n)."""
+    """word -> fixed, and how often fixed is printed, for the misread words of a table of words and counts (word, n);
+    words that only stand for a broken one have count 0."""
     guesses = words.mapInArrow(_guess, "word string, n bigint, printed string, rank int")
-    known = words.select(F.col("word").alias("printed"), F.col("n").alias("times"))
-    j = guesses.join(known, "printed", "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    known = words.where("n > 0").select(F.col("word").alias("printed"), F.col("n").alias("times"))
+    j = guesses.join(known.hint("merge"), "printed", "left").withColumn("times", F.coalesce("times", F.lit(0)))
     single = F.regexp_count("word", F.lit("[015689!|]")) == 1
     fits = (
         (F.col("rank") == 0)
@@ -329,53 +346,65 @@ def fixes(words: DataFrame) -> DataFrame:
         | ((F.col("rank") == 2) & (F.col("times") >= LEAST) & (F.col("times") >= TIMES * F.col("n")))
     )
     best = j.where(fits).groupBy("word").agg(F.max(F.struct((F.col("times") > 0).alias("known"), -F.col("rank"), "times", "printed")).alias("x"))
-    return best.select("word", F.col("x.printed").alias("fixed"))
+    return best.select("word", F.col("x.printed").alias("fixed"), F.col("x.times").alias("fixed_n"))
 
 
 def repairs(pages_in: DataFrame, shard_results: DataFrame) -> DataFrame:
     """What is repaired: doc_id, page_no, line_in_page, kind (hyphen, ocr, header, page_number), fixed.
 
     Null, empty and blank pages and failed tries have nothing to repair; copies of a page count once; a page may
-    stand in any order and stand alone. Lines that begin with ``#`` are text.
+    stand in any order and stand alone. Lines that begin with ``#`` are text. A word of one character is never
+    repaired.
     """
-    return _repairs(labelled(pages(pages_in, shard_results)))
-
-
-def _words(rows: DataFrame) -> DataFrame:
-    """doc_id, page_no, line, a: the distinct words of every line."""
-    each = rows.where("kind = 'words'").select("doc_id", "page_no", "line", F.explode(F.split("a", "\x1f")).alias("a"))
-    return each.where(F.length("a") > 1)
-
-
-def _repairs(rows: DataFrame) -> DataFrame:
-    words = checkpoint(_words(rows).groupBy(F.col("a").alias("word")).agg(F.count(F.lit(1)).alias("n")))
-    # words that hang at the end of a page go on at the opening of the next page that has text, at most three on
-    hangs = rows.where("kind = 'hangs'").select("doc_id", "page_no", "line", "a", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("step"))
-    opens = rows.where("kind = 'opens'").select("doc_id", F.col("page_no").alias("next_no"), F.col("a").alias("right"))
-    met = (
-        hangs.withColumn("next_no", F.col("page_no") + F.col("step"))
-        .join(opens, ["doc_id", "next_no"])
-        .groupBy("doc_id", "page_no", "line", "a")
-        .agg(F.min_by("right", "step").alias("b"))
-    )
-    broken = rows.where("kind = 'broken'").select("doc_id", "page_no", "line", "a", "b").unionByName(met).withColumn("left", F.split("a", "\x1f")[0]).withColumn("mark", F.split("a", "\x1f")[1])
-    pairs = broken.select("left", "mark", F.col("b").alias("right")).distinct()
-    written = pairs.select("left", "mark", "right", F.explode(F.array(F.struct(F.concat("left", "right").alias("word"), F.lit(False).alias("dash")), F.struct(F.concat_ws("-", "left", "right").alias("word"), F.lit(True).alias("dash")))).alias("w")).select("left", "mark", "right", "w.*")
-    misread = fixes(written.select("word").distinct().withColumn("n", F.lit(0).cast("bigint")).join(words.withColumnRenamed("n", "m"), "word", "left_anti").unionByName(words))
-    counted = (
-        written.join(words, "word", "left")
-        .join(misread, "word", "left")
-        .join(words.select(F.col("word").alias("fixed"), F.col("n").alias("fixed_n")), "fixed", "left")
-    )
+    return _repairs(labelled(pages(pages_in, shard_results)))[0]
+
+
+#: Page numbers of a block in which pages are put in order.
+BLOCK = 4096
+#: A word with more than one in so many occurrences is frequent; so there are at most so many frequent words.
+FREQUENT = 10_000
+
+
+def _follow(rows: DataFrame) -> DataFrame:
+    """Every page with text and the next one of its document: doc_id, page_no, line, opens, hangs, next_no, right (the
+    first word there). Pages are put in order within blocks of page numbers, so that one document may have any number
+    of pages; what follows a block's last page comes from a window over one row a block."""
+    block = F.floor(F.col("page_no") / BLOCK).alias("block")
+    pages = rows.where("kind = 'page'").select("doc_id", block, "page_no", "line", F.col("a").alias("opens"), F.col("b").alias("hangs")).repartition("doc_id", "block")
+    here = Window.partitionBy("doc_id", "block").orderBy("page_no")
+    inside = pages.withColumn("next_no", F.lead("page_no").over(here)).withColumn("right", F.lead("opens").over(here)).where("next_no is not null").drop("block")
+    edges = pages.groupBy("doc_id", "block").agg(F.min(F.struct("page_no", "opens")).alias("first"), F.max(F.struct("page_no", "line", "opens", "hangs")).alias("last"))
+    after = F.lead("first").over(Window.partitionBy("doc_id").orderBy("block"))
+    last = edges.withColumn("after", after).select("doc_id", "last.page_no", "last.line", "last.opens", "last.hangs", F.col("after.page_no").alias("next_no"), F.col("after.opens").alias("right"))
+    return inside.unionByName(last)
+
+
+def _repairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The repairs, and the order of the pages (see ``_follow``). Tables that grow with the corpus meet in sort-merge
+    joins only; what is broadcast are the at most ``FREQUENT`` frequent words, which need not travel."""
+    order = checkpoint(_follow(rows))
+    tokens = rows.where("kind = 'words'").select("doc_id", "page_no", "line", F.explode(F.split("a", "\x1f")).alias("word")).where(F.length("word") > 1)
+    met = order.where("hangs != '' and right is not null").select("doc_id", "page_no", "line", F.col("hangs").alias("a"), F.col("right").alias("b"))
+    broken = (
+        rows.where("kind = 'broken'").select("doc_id", "page_no", "line", "a", "b").unionByName(met)
+        .select("doc_id", "page_no", "line", F.split("a", "\x1f")[0].alias("left"), F.split("a", "\x1f")[1].alias("mark"), F.col("b").alias("right"))
+    )
+    # the two ways to write a broken word; each is a word of the vocabulary, if only with no occurrence
+    both = F.array(F.struct(F.concat("left", "right").alias("word"), F.lit(False).alias("dash")), F.struct(F.concat_ws("-", "left", "right").alias("word"), F.lit(True).alias("dash")))
+    written = broken.select("left", "mark", "right").distinct().select("left", "mark", "right", F.inline(both))
+    vocabulary = checkpoint(tokens.select("word", F.lit(1).cast("bigint").alias("n")).unionByName(written.select("word", F.lit(0).cast("bigint").alias("n"))).groupBy("word").agg(F.sum("n").alias("n")))
+    misread = checkpoint(fixes(vocabulary))
+    counted = written.join(vocabulary.hint("merge"), "word").join(misread.hint("merge"), "word", "left")
     digits = F.col("left").rlike(r"\d$") & F.col("right").rlike(r"^\d") & (F.col("mark") == "-")
-    score = F.struct(
-        F.coalesce("n", F.lit(0)) > 0, F.coalesce("n", F.lit(0)), F.coalesce("fixed_n", F.lit(0)), F.when(digits, F.col("dash")).otherwise(~F.col("dash")), F.when(F.coalesce("n", F.lit(0)) > 0, F.col("word")).otherwise(F.coalesce("fixed", "word")).alias("whole")
-    )
-    whole = counted.groupBy("left", "mark", "right").agg(F.max(score).alias("s")).select("left", "mark", "right", "s.whole")
-    hyphen = broken.join(whole, [broken.left == whole.left, broken.mark == whole.mark, broken.b == whole.right]).select("doc_id", "page_no", "line", F.lit("hyphen").alias("kind"), F.col("whole").alias("fixed"))
-    ocr = _words(rows).join(misread.withColumnRenamed("word", "a"), "a").select("doc_id", "page_no", "line", F.lit("ocr").alias("kind"), "fixed")
+    score = F.struct(F.col("n") > 0, "n", F.coalesce("fixed_n", F.lit(0)), F.when(digits, F.col("dash")).otherwise(~F.col("dash")), F.when(F.col("n") > 0, F.col("word")).otherwise(F.coalesce("fixed", "word")).alias("whole"))
+    whole = counted.groupBy("left", "mark", "right").agg(F.max(score).alias("s")).select("left", "mark", "right", F.col("s.whole").alias("fixed"))
+    hyphen = broken.join(whole.hint("merge"), ["left", "mark", "right"]).select("doc_id", "page_no", "line", F.lit("hyphen").alias("kind"), "fixed")
+    total = vocabulary.agg(F.sum("n")).first()[0] or 0
+    frequent = vocabulary.where((F.col("n") * FREQUENT > total) & (F.length("word") <= LONGEST)).select("word").join(misread.hint("merge"), "word", "left_anti")
+    rare = tokens.join(F.broadcast(frequent), "word", "left_anti")
+    ocr = rare.join(misread.hint("merge"), "word").select("doc_id", "page_no", "line", F.lit("ocr").alias("kind"), "fixed").distinct()
     running = rows.where("kind in ('header', 'page_number')").select("doc_id", "page_no", "line", "kind", F.lit("").alias("fixed"))
-    return hyphen.unionByName(ocr).unionByName(running).withColumnRenamed("line", "line_in_page").distinct()
+    return hyphen.unionByName(ocr).unionByName(running).withColumnRenamed("line", "line_in_page"), order
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,20 +483,23 @@ def paragraphs(pages_in: DataFrame, shard_results: DataFrame) -> DataFrame:
     left out there (a page that is a single such part keeps its own). Pages without text give no paragraphs.
     """
     p = checkpoint(pages(pages_in, shard_results))
-    rows = labelled(p)
-    mended = checkpoint(_repairs(rows))
-    by_page = mended.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct(F.col("line_in_page").alias("line"), "kind", "fixed")).alias("mended"))
-    hanging = rows.where("kind = 'hangs'").join(mended.where("kind = 'hyphen'").select("doc_id", "page_no", F.col("line_in_page").alias("line")), ["doc_id", "page_no", "line"], "left_semi")
-    taken = hanging.select("doc_id", (F.col("page_no") + 1).alias("page_no"), F.lit(True).alias("taken")).distinct()
+    found, order = _repairs(labelled(p))
+    by_page = found.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct(F.col("line_in_page").alias("line"), "kind", "fixed")).alias("mended"))
+    # the page that a hanging word goes on takes its first word away
+    follows = order.where("next_no is not null").select("doc_id", "page_no", "next_no")
+    taken = order.where("hangs != '' and right is not null").select("doc_id", F.col("next_no").alias("page_no"), F.lit(True).alias("taken"))
     parts = checkpoint(
-        p.join(by_page, ["doc_id", "page_no"], "left").join(taken, ["doc_id", "page_no"], "left").select("doc_id", "page_no", "md", "mended", "taken")
+        p.join(by_page.hint("merge"), ["doc_id", "page_no"], "left").join(taken.hint("merge"), ["doc_id", "page_no"], "left").select("doc_id", "page_no", "md", "mended", "taken")
         .mapInArrow(_rebuild, "doc_id string, page_no int, para_no int, text string, open_start boolean, open_end boolean")
     )
-    tails = parts.where("open_start and not open_end").select("doc_id", (F.col("page_no") - 1).alias("page_no"), F.col("text").alias("tail"), F.lit(True).alias("open_end"))
-    joined = parts.join(tails, ["doc_id", "page_no", "open_end"], "left").withColumn("text", F.concat_ws(" ", "text", "tail"))
-    gone = parts.where("open_end").select("doc_id", (F.col("page_no") + 1).alias("page_no"), F.lit(0).alias("para_no"), F.lit(True).alias("moved"))
+    first = parts.where("open_start and not open_end").select("doc_id", F.col("page_no").alias("next_no"), F.col("text").alias("tail"), F.lit(True).alias("open_end"))
+    last = parts.where("open_end").select("doc_id", "page_no").join(follows.hint("merge"), ["doc_id", "page_no"])
+    tails = last.join(first.hint("merge"), ["doc_id", "next_no"]).select("doc_id", "page_no", "tail", "open_end")
+    gone = last.select("doc_id", F.col("next_no").alias("page_no"), F.lit(0).alias("para_no"), F.lit(True).alias("moved"))
     return (
-        joined.join(gone, ["doc_id", "page_no", "para_no"], "left")
+        parts.join(tails.hint("merge"), ["doc_id", "page_no", "open_end"], "left")
+        .withColumn("text", F.concat_ws(" ", "text", "tail"))
+        .join(gone.hint("merge"), ["doc_id", "page_no", "para_no"], "left")
         .where(~(F.coalesce("moved", F.lit(False)) & F.col("open_start") & ~F.col("open_end")))
         .select("doc_id", "page_no", "para_no", "text")
     )
