@@ -1,8 +1,9 @@
 """Printed dates and times: every reading a text allows, and the choice between readings.
 
 ``readings`` lists all valid interpretations of one value. ``choose`` runs Viterbi over the values of a chain
-(records of one source in order): a reading pays for contradicting the source's known date order, for changing
-format against its predecessor, and for going back in time.
+(records of one source in order). Its states are readings with the numeric order in force, which outlives values that
+do not show it; a reading pays for contradicting the source's known order, for a change of that order, for another
+format than its predecessor's, for going back in time, and for the later side of a clock change.
 """
 
 from __future__ import annotations
@@ -72,10 +73,11 @@ def readings(value: str | None) -> list[Reading]:
     """All valid interpretations of one printed value; an empty list if it names no date.
 
     Null, blank and non-date texts give none. Day/month order of all-numeric dates yields up to two readings.
-    Two-digit years are 20xx; digits alone are a day (8) or Unix time in seconds (10) or milliseconds (13).
+    Two-digit years are 20xx and never stand first; digits alone are a day (8) or Unix time in seconds (10) or
+    milliseconds (13); of a fraction of a second six digits count. Texts of any length are read.
     """
     v = clean(value)
-    if not v or len(v) > 60:
+    if not v:
         return []
     n = len(v)
     if (n == 10 or n == 13) and v.isdecimal():
@@ -130,52 +132,94 @@ def allowed(options: list[Reading], date_order: str | None) -> list[Reading]:
     return [r for r in options if r[0] != against]
 
 
-#: Costs of Viterbi: a change of numeric order between neighbours, and a step back in time (per record, plus per
-#: year up to ten). The prior for day first breaks what remains equal.
-SWITCH, BACK, BACK_YEAR, MONTH_FIRST = 4.0, 1.0, 0.5, 0.1
+def folded(options: list[Reading], tz: str | None) -> list[Reading]:
+    """The readings with both sides of a clock change for local times that it repeats or skips in their zone."""
+    out = []
+    for order, moment in options:
+        out.append((order, moment))
+        if isinstance(moment, datetime) and tz and (moment.tzinfo is None or isinstance(moment.tzinfo, ZoneInfo)):
+            local = moment if moment.tzinfo else moment.replace(tzinfo=zone(tz) or UTC)
+            if local.utcoffset() != local.replace(fold=1).utcoffset():
+                out.append((order, moment.replace(fold=1)))
+    return out
+
+
+#: Costs of Viterbi. Of a step: a change of the numeric order in force, a format other than the predecessor's, and a
+#: step back in time (per record, plus per year up to ten). Of the order a chain begins with: month first, so that day
+#: first wins where all else is equal. Of a reading: against the source's known order, and the later side of a clock
+#: change, both dearer than all steps of a chain could be; no date at all lies between, and is offered where a source's
+#: order admits none of the readings.
+SWITCH, FORMAT, BACK, BACK_YEAR = 4.0, 0.25, 1.0, 0.5
+MONTH_FIRST, NONE, AGAINST, LATER = 0.1, 1e6, 1e7, 1e7
+_NUMERIC = ("dmy", "mdy")
+_NO_DATE: Reading = ("none", date.min)
 
 
 def _ordinal(moment: date | datetime) -> float:
     if isinstance(moment, datetime):
-        return moment.toordinal() + (moment.hour * 60 + moment.minute) / 1440
+        return moment.toordinal() + (moment.hour * 60 + moment.minute) / 1440 + moment.fold / 24
     return float(moment.toordinal())
 
 
-def choose(chain: list[list[Reading]]) -> list[Reading | None]:
-    """Viterbi over a chain of values in record order; None where a value has no reading.
+def choose(chain: list[list[Reading]], orders: list[str | None] | None = None, entry: str | None = None) -> list[Reading | None]:
+    """Viterbi over a chain of values in record order; None where a value has no reading, or none that its source's
+    known order (``orders``, one a value: DMY, MDY or None) admits. ``entry`` is the order in force (dmy, mdy) where
+    the chain begins, if another chain goes before it.
 
-    Values with one reading anchor the path, so only stretches with a choice are searched; the path found is
-    that of the whole chain.
+    Values that can be read one way only add the same cost to every path between two of them, so steps are searched
+    only where there is a choice or the order in force changes; the path found is that of the whole chain.
     """
-    picked: list[Reading | None] = [r[0] if len(r) == 1 else None for r in chain]
-    if not any(len(r) > 1 for r in chain):
-        return picked
-    known = [i for i, r in enumerate(chain) if r]
-    score = [0.0 if len(chain[known[0]]) == 1 else (MONTH_FIRST if r[0] == "mdy" else 0.0) for r in chain[known[0]]]
-    back: list[list[int]] = [[0] * len(score)]
-    for k in range(1, len(known)):
-        before, here = chain[known[k - 1]], chain[known[k]]
-        if len(before) == 1 and len(here) == 1:  # no choice on either side
-            back.append([0])
-            score = [score[0]]
+    picked: list[Reading | None] = [None] * len(chain)
+    known: list[int] = []
+    columns: list[list[tuple[Reading, str, float]]] = []  # states of a value: reading, order in force, day
+    back: list[list[int] | None] = []
+    score: list[float] = []
+    for i, options in enumerate(chain):
+        if not options:
             continue
-        fresh, origin = [], []
-        for r in here:
-            at = _ordinal(r[1])
-            best, arg = float("inf"), 0
-            for j, p in enumerate(before):
-                step = _ordinal(p[1]) - at
-                cost = score[j] + (SWITCH if {p[0], r[0]} == {"dmy", "mdy"} else 0.0) + (BACK + BACK_YEAR * min(10.0, step / 365) if step > 0.5 else 0.0)
-                if cost < best:
-                    best, arg = cost, j
-            fresh.append(best + (MONTH_FIRST if r[0] == "mdy" else 0.0))
-            origin.append(arg)
-        score = fresh
-        back.append(origin)
+        admitted = allowed(options, orders[i]) if orders else options
+        single = len(options) == 1 and len(admitted) == 1 and options[0][0] not in _NUMERIC
+        states, own = [], []
+        for r in options if admitted else [*options, _NO_DATE]:
+            cost = 0.0 if r is not _NO_DATE else NONE
+            cost += AGAINST if r is not _NO_DATE and r not in admitted else 0.0
+            cost += LATER if isinstance(r[1], datetime) and r[1].fold else 0.0
+            at = _ordinal(r[1]) if r is not _NO_DATE else float("nan")
+            for order in (r[0],) if r[0] in _NUMERIC else _NUMERIC:
+                states.append((r, order, at))
+                own.append(cost)
+        if not known:
+            enter = {"dmy": 0.0, "mdy": MONTH_FIRST} if entry is None else {o: SWITCH * (o != entry) for o in _NUMERIC}
+            score = [c + enter[order] for c, (_, order, _) in zip(own, states, strict=True)]
+            back.append(None)
+        elif single and len(columns[-1]) == 2 and columns[-1][0][0] is columns[-1][1][0]:
+            back.append(None)  # from one certain value to the next: both orders stay as they are
+        else:
+            fresh, origin = [], []
+            for (r, order, at), cost in zip(states, own, strict=True):
+                best, arg = float("inf"), 0
+                for j, (p, before, was) in enumerate(columns[-1]):
+                    c = score[j] + (SWITCH if before != order else 0.0) + (FORMAT if p[0] != r[0] else 0.0)
+                    step = was - at  # not a number where one of them is no date
+                    if step > 0.5:
+                        c += BACK + BACK_YEAR * min(10.0, step / 365)
+                    if c < best:
+                        best, arg = c, j
+                fresh.append(best + cost)
+                origin.append(arg)
+            low = min(fresh)
+            score = [x - low for x in fresh]  # paths compare by differences; so sums stay exact on long chains
+            back.append(origin)
+        known.append(i)
+        columns.append(states)
+    if not known:
+        return picked
     j = min(range(len(score)), key=score.__getitem__)
     for k in range(len(known) - 1, -1, -1):
-        picked[known[k]] = chain[known[k]][j]
-        j = back[k][j]
+        r = columns[k][j][0]
+        picked[known[k]] = None if r is _NO_DATE else r
+        if back[k] is not None:
+            j = back[k][j]
     return picked
 
 

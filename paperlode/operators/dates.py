@@ -8,17 +8,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperlode.functions.timestamps import allowed, choose, ends, norm, readings
+from paperlode.functions.timestamps import choose, ends, folded, norm, readings
 from paperlode.operators.rejects import load_statement_rows
+from paperlode.operators.statement_rows import order_shown
 
 FOUND = "origin string, doc_id string, item string, side string, norm string"
 _SCHEMA = pa.schema([(c, pa.string()) for c in ("origin", "doc_id", "item", "side", "norm")])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Values in record order, chained by source within a batch."""
+#: Records of a source in one chain, on the average; a source of more is cut into as many chains as that takes.
+CHAIN = 4096
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Runs of rows of one source and chain, over the batches' edges."""
+    held: list[dict] = []
     for batch in batches:
-        rows = batch.to_pylist()
+        for r in batch.to_pylist():
+            if held and (r["source"], r["chain"]) != (held[0]["source"], held[0]["chain"]):
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The values of every chain, in record order."""
+    for rows in _chains(batches):
         sides: list[tuple[dict, str, str]] = []
         for r in rows:
             if r["side"] is None:
@@ -26,13 +43,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sides += [(r, "start", two[0]), (r, "end", two[1])]
             else:
                 sides.append((r, r["side"], r["printed"]))
-        options = [allowed(readings(v), r["date_order"]) for r, _, v in sides]
-        picked: list = []
-        start = 0
-        for i in range(1, len(sides) + 1):
-            if i == len(sides) or sides[i][0]["source"] != sides[start][0]["source"]:
-                picked += choose(options[start:i])
-                start = i
+        picked = choose([folded(readings(v), r["tz"]) for r, _, v in sides], [r["date_order"] for r, _, _ in sides], rows[0]["entry"])
         out: dict[str, list] = {f.name: [] for f in _SCHEMA}
         for (r, side, _), p in zip(sides, picked, strict=True):
             if (text := norm(p, r["tz"])) is not None:
@@ -45,8 +56,10 @@ def read_dates(lines: DataFrame, accounts: DataFrame, returns: DataFrame, source
     """One row per date read: origin, doc_id, item, side, norm.
 
     Cells of statement rows come through :func:`load_statement_rows` (rows with a reason are left out); periods of
-    accounts and filing dates of returns are read here, in the order of loading within a source. Null, blank and
-    non-date values give no row; copies of a record give one; a source that is not listed has zone UTC.
+    accounts and filing dates of returns are read here, in chains of a source's records in order of loading. A source
+    of many records is cut into chains by the hash of its documents, each in order, so that no task holds a source.
+    Null, blank and non-date values give no row; copies of a record give one; a source that is not listed has zone UTC
+    and no numeric order, so that its chains decide.
     """
     cells = load_statement_rows(lines, sources).where("reason is null and norm is not null").select(
         "origin", "doc_id", F.col("line_no").cast("string").alias("item"), F.lit("cell").alias("side"), "norm"
@@ -63,5 +76,12 @@ def read_dates(lines: DataFrame, accounts: DataFrame, returns: DataFrame, source
         )
 
     printed = staged(accounts, "account", "account_number", "period", None).unionByName(staged(returns, "return", "acknowledgement_number", "date_of_filing", "filed"))
-    read = printed.sortWithinPartitions("source", "loaded_at", "doc_id", "item").drop("loaded_at").mapInArrow(_read, FOUND)
+    # what most of a source's dates show is the order in force where each of its chains begins
+    shown = order_shown(F.col("printed"))
+    counts = printed.groupBy("source").agg(
+        F.ceil(F.count(F.lit(1)) / CHAIN).cast("int").alias("chains"),
+        F.when(F.count_if(shown == "dmy") > F.count_if(shown == "mdy"), "dmy").when(F.count_if(shown == "dmy") < F.count_if(shown == "mdy"), "mdy").alias("entry"),
+    )
+    chained = printed.join(counts, printed["source"].eqNullSafe(counts["source"])).drop(counts["source"]).withColumn("chain", F.pmod(F.xxhash64("doc_id"), F.col("chains")))
+    read = chained.repartition("source", "chain").sortWithinPartitions("source", "chain", "loaded_at", "doc_id", "item", "printed").mapInArrow(_read, FOUND)
     return cells.unionByName(read).distinct()

@@ -52,12 +52,33 @@ def layout(cells: Column) -> Column:
     )
 
 
+def block_of(line_no: Column) -> Column:
+    """The block of a line number; a null one is in block 0."""
+    return F.coalesce(F.floor(line_no / BLOCK).cast("int"), F.lit(0))
+
+
+def order_shown(text: Column, before: str = "") -> Column:
+    """The numeric order (dmy, mdy) that a date at the beginning of a text (or after the mark ``before``) can only be
+    in, as one of its first two numbers is no month; null for all other texts."""
+    at = rf"(?:^|{before})" if before else "^"
+    day_first, month_first = rf"{at}\W*(?:1[3-9]|2\d|3[01])([-/.])(?:0?[1-9]|1[0-2])\1\d\d", rf"{at}\W*(?:0?[1-9]|1[0-2])([-/.])(?:1[3-9]|2\d|3[01])\1\d\d"
+    return F.when(text.rlike(day_first), "dmy").when(text.rlike(month_first), "mdy")
+
+
+def carried_order(marks: DataFrame) -> DataFrame:
+    """The numeric order last shown before a block of a document: doc_id, block, entry, from (doc_id, block, line_no,
+    shown); one row a block, where one is known."""
+    last = marks.groupBy("doc_id", "block").agg(F.max(F.when(F.col("shown").isNotNull(), F.struct("line_no", "shown"))).alias("m"))
+    before = Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return last.select("doc_id", "block", F.last("m.shown", ignorenulls=True).over(before).alias("entry")).where("entry is not null")
+
+
 def transaction_rows(lines: DataFrame) -> DataFrame:
     """Each distinct transaction row of bank statements with its header's layout.
 
     In: doc_id, line_no, cells, source, doc_type, loaded_at; further columns are ignored. Out: doc_id, block,
-    line_no, source, record, head (null if no header stands before the row), in order of (doc_id, block, line_no)
-    within partitions. Copies of a line (same doc_id and line_no) count once, the first loaded stays. Rows without
+    line_no, source, record, head (null if no header stands before the row), entry (the numeric order of dates last
+    shown before the block, null if none is), in order of (doc_id, block, line_no) within partitions. Copies of a line (same doc_id and line_no) count once, the first loaded stays. Rows without
     doc_id, line_no or cells are no transaction rows; a null cell is blank. A header row names a date and a balance
     column. An empty table gives no rows.
     """
@@ -79,17 +100,20 @@ def transaction_rows(lines: DataFrame) -> DataFrame:
     )
     # One row per block after a document's first, and one per block that has headers: what each block begins with.
     later = statement.where((F.col("line_no") >= BLOCK) | (F.col("line_no") < 0)).select("doc_id", block).distinct()
-    heads = rows.where(F.col("own").isNotNull()).groupBy("doc_id", "block").agg(F.max_by("own", "line_no").alias("last"))
+    marks = rows.select("doc_id", "block", "line_no", "own", order_shown(F.col("record"), UNIT).alias("shown")).where("own is not null or shown is not null")
+    latest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("line_no", c)))
+    heads = marks.groupBy("doc_id", "block").agg(latest("own").alias("o"), latest("shown").alias("s")).select("doc_id", "block", F.col("o.own").alias("last"), F.col("s.shown").alias("shown"))
     edge = Window.partitionBy("doc_id").orderBy("block", "is_head").rowsBetween(Window.unboundedPreceding, 0)
     carried = (
         heads.withColumn("is_head", F.lit(1))
         .unionByName(later.withColumn("is_head", F.lit(0)), allowMissingColumns=True)
         .withColumn("carried", F.last("last", ignorenulls=True).over(edge))
-        .where((F.col("is_head") == 0) & F.col("carried").isNotNull())
-        .select("doc_id", "block", "carried")
+        .withColumn("entry", F.last("shown", ignorenulls=True).over(edge))
+        .where((F.col("is_head") == 0) & (F.col("carried").isNotNull() | F.col("entry").isNotNull()))
+        .select("doc_id", "block", "carried", "entry")
     )
     return (
         filled.join(carried, ["doc_id", "block"], "left")
-        .select("doc_id", "block", "line_no", "source", "record", F.coalesce("head", "carried").alias("head"))
+        .select("doc_id", "block", "line_no", "source", "record", F.coalesce("head", "carried").alias("head"), "entry")
         .sortWithinPartitions("doc_id", "block", "line_no")
     )

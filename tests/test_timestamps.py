@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from paperlode.functions.timestamps import allowed, choose, ends, norm, readings
+from paperlode.functions.timestamps import BACK, BACK_YEAR, FORMAT, MONTH_FIRST, SWITCH, allowed, choose, ends, folded, norm, readings
 
 
 def one(value, order=None, tz="UTC"):
@@ -68,3 +68,59 @@ def test_periods():
     assert ends("April 1, 2021 – March 31, 2022") == ("April 1, 2021", "March 31, 2022")
     assert ends("2021-04-01 - 2022-03-31") == ("2021-04-01", "2022-03-31")
     assert ends("as per ledger") is None and ends("to") is None and ends(None) is None
+
+
+def test_values_of_any_length():
+    v = "Wednesday, 11th September 2024, 12:34:56.123456789 p.m. America/Argentina/Buenos_Aires"
+    assert norm(choose([readings(v)])[0], "UTC") == "2024-09-11T15:34:56.123456Z"
+    assert readings("05/04/2022" + " " * 100_000) == readings("05/04/2022") and readings("5" * 100_000) == []
+
+
+def test_the_order_in_force_outlives_other_formats():
+    chain = [readings(v) for v in ("03/25/2022", "30 Mar 2022", "2022-03-31", "04/01/2022")]
+    assert choose(chain)[-1][1] == date(2022, 4, 1)
+    chain = [readings(v) for v in ("25/03/2022", *["30 Mar 2022"] * 500, "01/04/2022")]
+    assert choose(chain)[-1][1] == date(2022, 4, 1)
+
+
+def test_a_known_order_goes_before_the_chain():
+    chain = [readings(v) for v in ("03/25/2022", "04/01/2022", "04/02/2022")]
+    got = choose(chain, ["DMY"] * 3)
+    assert got[0] is None and [r[1] for r in got[1:]] == [date(2022, 1, 4), date(2022, 2, 4)]
+    assert [r[1] for r in choose(chain, ["MDY", "MDY", None])] == [date(2022, 3, 25), date(2022, 4, 1), date(2022, 4, 2)]
+
+
+def test_both_sides_of_a_clock_change_are_readings():
+    options = folded(readings("2022-10-30 01:30:00"), "Europe/London")
+    assert len(options) == 2 and norm(options[1], "Europe/London") == "2022-10-30T01:30:00.000000Z"
+    assert norm(choose([options])[0], "Europe/London") == "2022-10-30T00:30:00.000000Z"
+    assert len(folded(readings("2022-10-30 03:30:00"), "Europe/London")) == 1
+
+
+def brute(chain):
+    """The cheapest path by trying all."""
+    from itertools import product
+
+    def cost(path):
+        total = MONTH_FIRST * (path[0][1] == "mdy")
+        for k, (r, order) in enumerate(path):
+            if k:
+                p, before = path[k - 1]
+                total += SWITCH * (before != order) + FORMAT * (p[0] != r[0])
+                step = p[1].toordinal() - r[1].toordinal()
+                total += (BACK + BACK_YEAR * min(10.0, step / 365)) if step > 0.5 else 0
+        return total
+
+    states = [[(r, o) for r in options for o in ((r[0],) if r[0] in ("dmy", "mdy") else ("dmy", "mdy"))] for options in chain]
+    return min(cost(p) for p in product(*states)), cost
+
+
+@given(st.lists(st.sampled_from(["03/04/2022", "04/03/2022", "25/03/2022", "03/25/2022", "1 Apr 2022", "2022-03-30", "05/05/2022", "11/12/2021"]), min_size=1, max_size=6))
+def test_viterbi_against_all_paths(values):
+    chain = [readings(v) for v in values]
+    best, cost = brute(chain)
+    got = choose(chain)
+    from itertools import product
+
+    paths = product(*([(r, o) for o in ((r[0],) if r[0] in ("dmy", "mdy") else ("dmy", "mdy"))] for r in got))
+    assert abs(min(cost(p) for p in paths) - best) < 1e-6
