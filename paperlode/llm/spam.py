@@ -33,13 +33,14 @@ FUNCTION_WORDS = {
 _FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _ANY = frozenset().union(*_FUNCTION.values())
 # Scripts that tell a language, or the languages that share one.
-_SCRIPTS = ((re.compile(r"[஀-௿]"), ("ta",)), (re.compile(r"[ऀ-ॿ]"), ("hi", "mr")), (re.compile(r"[A-Za-zÀ-ÿ]"), ("en", "de", "fr")))
+_SCRIPTS = ((re.compile(r"[஀-௿]+"), ("ta",)), (re.compile(r"[ऀ-ॿ]+"), ("hi", "mr")), (re.compile(r"[A-Za-zÀ-ÿ]+"), ("en", "de", "fr")))
 # Labels of a language beside its first two letters.
 _LABELS = {"eng": "en", "english": "en", "deu": "de", "ger": "de", "german": "de", "fra": "fr", "fre": "fr", "french": "fr", "hin": "hi", "hindi": "hi", "mar": "mr", "marathi": "mr", "tam": "ta", "tamil": "ta"}
 
 _LINK = re.compile(r"<a\b[^<>]*>[^<]*</a>|\[[^\[\]\n]*\]\([^()\s]+\)|(?:https?://|www\.)[^\s<>()|,]+|(?<!\w)#[^\W\d_][\w-]*")
 _LABELLED = re.compile(r"[^\W\d_][\w'-]*(?: [^\W\d_][\w'-]*){0,4}: ?$")
 _WORD = re.compile(r"[^\W_][\w'ऀ-෿-]*")
+_TOKEN, _NUMERIC = re.compile(r"(?<!\S)[^\w\s]*\w"), re.compile(r"(?<!\S)[^\s\d]*\d")
 _SEPARATOR = re.compile(r"[,;|/>•·»]|(?<=\s)-(?=\s)|\t+")
 _ITEM = re.compile(r"[,;|/>•·»:]|(?<=\s)-(?=\s)|\t+|[.!?।]+(?:\s|$)")
 # What begins a row of product codes, and a row of tags.
@@ -76,9 +77,11 @@ def language(label: str | None, text: str, words: list[str]) -> str:
     tag = (label or "").strip().lower()
     tag = _LABELS.get(tag, tag[:2])
     tag = tag if re.fullmatch("[a-z]{2}", tag) else "un"
-    counts = [(len(p.findall(text)), names) for p, names in _SCRIPTS]
-    most, names = max(counts, key=lambda c: c[0])
-    if not most:
+    if text.isascii():
+        most, names = True, _SCRIPTS[-1][1]
+    else:
+        most, names = max(((sum(map(len, p.findall(text))), names) for p, names in _SCRIPTS), key=lambda c: c[0])
+    if not most or (text.isascii() and not words):
         return tag
     if tag in names or len(names) == 1:
         return tag if tag in names else names[0]
@@ -161,22 +164,28 @@ def segments(text: str | None, label: str | None = None) -> tuple[str, list[tupl
                 continue
             runs[-1] += _WORD.findall(t.lower())
             seps += len(_SEPARATOR.findall(t))
-            for x in t.split():
-                tokens += any(c.isalnum() for c in x)
-                digits += any(c.isdigit() for c in x)
-            for x in _ITEM.split(t):
-                if i := x.strip().lower():
-                    bare += len(i)
-                    dup += len(i) if i in often else 0
+            tokens += len(_TOKEN.findall(t))
+            digits += len(_NUMERIC.findall(t))
+            if often:
+                for x in _ITEM.split(t):
+                    if i := x.strip().lower():
+                        bare += len(i)
+                        dup += len(i) if i in often else 0
         words = [w for r in runs for w in r]
         n = max(1, len(words))
         covered = 0
         for r in runs:
-            hit = [p in repeated for p in pairwise(r)]
-            covered += sum(a or b for a, b in zip([*hit, False], [False, *hit], strict=True)) if len(r) > 1 else 0
-        content = Counter(w for w in words if w not in function and not w[0].isdigit())
-        top = sum(c for _, c in content.most_common(TOPS)) if len(content) and n >= 2 * TOPS else 0
-        known = sum(w in (function or _ANY) for w in words)
+            hit = False
+            for p in pairwise(r) if repeated else ():
+                if p in repeated:
+                    covered += 1 if hit else 2
+                    hit = True
+                else:
+                    hit = False
+        counts = Counter(words)
+        known = sum(c for w, c in counts.items() if w in (function or _ANY))
+        content = sorted((c for w, c in counts.items() if w not in function and not w[0].isdigit()), reverse=True)
+        top = sum(content[:TOPS]) if n >= 2 * TOPS else 0
         out.append((float(size), top / n, covered / n, dup / max(1, bare), linked / max(1, size), min(1.0, seps / n), known / n, digits / max(1, tokens)))
 
     for p in paragraphs:
