@@ -1,15 +1,17 @@
 """Oversized texts cut into overlapping pieces at natural boundaries, by ranges.
 
-A text is never handled whole. It is cut into ranges of ``RANGE`` characters with halos; the cost of every range is
-counted where it lies, letter runs over a range's edge are stitched, and a prefix sum gives each range the cost before
-it. The cuts of a text of cost ``total`` are spread evenly: the i-th lies in the cost window ``(i * step - slack,
-i * step]``, at the best boundary there (page or paragraph, line, sentence, word), so that every range finds its cuts
-alone, and what two ranges found for one window is stitched. Pieces are emitted by offset from the ranges they touch.
+A text of more than ``RANGE`` characters is handled in ranges with halos. One pass over its bytes deals them out to the
+workers, which count the cost of every range; letter runs over a range's edge are stitched, and a prefix sum over the
+counts alone gives each range the cost before it. The cuts of a text of cost ``total`` are spread evenly: the i-th lies
+in the cost window ``(i * step - slack, i * step]``, at the best boundary there (page or paragraph, line, sentence,
+word), so that every range finds its cuts alone, and what two ranges found for one window is stitched. Pieces are
+emitted by offset from the ranges they touch.
 """
 
 from __future__ import annotations
 
 import bisect
+import codecs
 import math
 import re
 from collections.abc import Iterator
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperlode.session import checkpoint
+
 #: Characters of a range, and of its halo on either side (the left one must hold the overlap).
 RANGE, HALO = 32_768, 2_048
 #: Limits of the cost of a piece, for texts and for texts with a table; the most two pieces share; the cost window.
@@ -34,41 +38,88 @@ def _edge(text: Column, at: int | Column, count: int | Column) -> Column:
     return F.substr(text, F.lit(at) if isinstance(at, int) else at, F.lit(count) if isinstance(count, int) else count)
 
 
-def ranges(chunks: DataFrame, size: int = RANGE, halo: int = HALO) -> DataFrame:
-    """The ranges of every text with their costs stitched and summed: one row per range.
+def _slice(size: int, halo: int):
+    """The ranges of each text, dealt out in one pass over its bytes: no text is decoded whole."""
 
-    Columns: chunk_id, no, start (offset of the range), halo_left, body (with halos), own (length without halos),
-    cost, before (cost of the text before the range), total, phase (letters of a run already begun before the range),
-    page (the page in force at its start, null where none is known), has_table, heading_path, page_start, page_end.
-    """
-    n = F.length("text")
-    d = chunks.withColumn("no", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(n / size).cast("int") - 1, F.lit(0)))))
-    start = F.col("no") * size
-    left = F.least(start, F.lit(halo))
-    core = _edge(F.col("text"), start + 1, size)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                one = b.slice(row, 1)
+                data = memoryview(one.column(2).cast(pa.large_binary())[0].as_buffer())
+                decoder, at, held, base, no = codecs.getincrementaldecoder("utf-8")("replace"), 0, "", 0, 0
+                while True:
+                    # held begins at character base: the left halo of range no, the range and its right halo
+                    while at < len(data) and base + len(held) < (no + 1) * size + halo:
+                        held += decoder.decode(data[at : at + 4 * size], at + 4 * size >= len(data))
+                        at += 4 * size
+                    start = no * size
+                    if start >= base + len(held):
+                        break
+                    left = min(start, halo)
+                    body = held[start - left - base : start + size + halo - base]
+                    own = min(size, base + len(held) - start)
+                    yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), *(pa.array([x], t) for x, t in ((no, pa.int32()), (start, pa.int64()), (left, pa.int32()), (own, pa.int32()), (body, pa.string()))), *one.columns[3:]], schema=_SLICES)
+                    no += 1
+                    cut = max(0, no * size - halo - base)
+                    held, base = held[cut:], base + cut
+
+    return run
+
+
+_SLICES = pa.schema([
+    ("chunk_id", pa.string()), ("digest", pa.int64()), ("no", pa.int32()), ("start", pa.int64()), ("halo_left", pa.int32()), ("own", pa.int32()), ("body", pa.string()),
+    ("has_table", pa.bool_()), ("heading_path", pa.list_(pa.string())), ("page_start", pa.int32()), ("page_end", pa.int32()),
+])
+_SLICED = "chunk_id string, digest bigint, no int, start bigint, halo_left int, own int, body string, has_table boolean, heading_path array<string>, page_start int, page_end int"
+_KEY = ("chunk_id", "digest", "no")
+
+
+def _sliced(chunks: DataFrame, size: int, halo: int) -> DataFrame:
+    """The ranges of texts of more than ``size`` characters with their bodies, dealt out over all workers; copies once."""
+    d = chunks.where(F.length("text") > size).select("chunk_id", "digest", "text", "has_table", "heading_path", "page_start", "page_end")
+    return d.mapInArrow(_slice(size, halo), _SLICED).repartition(*_KEY).dropDuplicates(list(_KEY))
+
+
+def _counted(d: DataFrame) -> DataFrame:
+    """The ranges (without bodies) with their costs stitched and summed, windows over counts alone."""
+    core = _edge(F.col("body"), F.col("halo_left") + 1, F.col("own"))
     d = d.select(
-        "chunk_id", "no", start.alias("start"), left.alias("halo_left"), _edge(F.col("text"), start - left + 1, left + size + halo).alias("body"),
-        F.length(core).alias("own"), F.regexp_count(core, F.lit(UNIT)).alias("counted"),
+        *_KEY, "start", "own", "has_table", "page_start", F.regexp_count(core, F.lit(UNIT)).alias("counted"),
         F.length(F.regexp_extract(core, r"^[A-Za-z]*", 0)).alias("lead"), F.length(F.regexp_extract(core, r"[A-Za-z]*\z", 0)).alias("trail"),
         # marks count where they end, so that one over an edge belongs to the range that holds its end
-        F.try_element_at(F.regexp_extract_all(_edge(F.col("text"), F.greatest(start - 32, F.lit(0)) + 1, F.least(start, F.lit(32)) + F.length(core)), F.lit(_MARK), 1), F.lit(-1)).cast("int").alias("mark"),
-        "has_table", "heading_path", "page_start", "page_end",
+        F.try_element_at(F.regexp_extract_all(_edge(F.col("body"), F.greatest(F.col("halo_left") - 32, F.lit(0)) + 1, F.least(F.col("halo_left"), F.lit(32)) + F.length(core)), F.lit(_MARK), 1), F.lit(-1)).cast("int").alias("mark"),
     )
-    by = Window.partitionBy("chunk_id").orderBy("no")
+    by = Window.partitionBy("chunk_id", "digest").orderBy("no")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("all", F.col("lead") == F.col("own"))
     # ranges that are one run of letters hand the run on: an island of them ends at each range that is not
-    d = d.withColumn("island", F.sum(F.when(F.col("all"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.withColumn("island", F.coalesce("island", F.lit(0)))
-    inside = Window.partitionBy("chunk_id", "island").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("island", F.coalesce(F.sum(F.when(F.col("all"), 0).otherwise(1)).over(before), F.lit(0)))
+    inside = Window.partitionBy("chunk_id", "digest", "island").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
     run = F.coalesce(F.sum(F.when(F.col("all"), F.col("own")).otherwise(0)).over(inside), F.lit(0))
-    first = F.coalesce(F.last(F.when(~F.col("all"), F.col("trail")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.withColumn("phase", F.when(F.col("lead") > 0, first + run).otherwise(0))
+    first = F.coalesce(F.last(F.when(~F.col("all"), F.col("trail")), ignorenulls=True).over(before), F.lit(0))
+    d = d.withColumn("phase", F.when(F.col("lead") > 0, first + run).otherwise(0).cast("bigint"))
     up = lambda c: F.ceil(c / 4)
     stitched = F.col("counted") + up(F.col("phase") + F.col("lead")) - up(F.col("phase")) - up(F.col("lead"))
     d = d.withColumn("cost", stitched.cast("bigint"))
-    d = d.withColumn("before", F.coalesce(F.sum("cost").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.withColumn("page", F.coalesce(F.last("mark", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)), "page_start"))
-    return d.withColumn("total", F.sum("cost").over(Window.partitionBy("chunk_id"))).drop("counted", "lead", "trail", "all", "island", "mark")
+    d = d.withColumn("before", F.coalesce(F.sum("cost").over(before), F.lit(0)))
+    d = d.withColumn("page", F.coalesce(F.last("mark", ignorenulls=True).over(before), "page_start"))
+    return d.withColumn("total", F.sum("cost").over(Window.partitionBy("chunk_id", "digest")))
+
+
+def ranges(chunks: DataFrame, size: int = RANGE, halo: int = HALO) -> DataFrame:
+    """The ranges of every text with their costs: chunk_id, digest (of the text), no, start (offset of the range), own
+    (its length), cost, before (cost of the text before it), total, phase (letters of a run already begun before it),
+    page (the page in force at its start, null where none is known), has_table.
+
+    Texts of one range are counted where they lie, row by row; copies of a text stay then.
+    """
+    d = chunks if "digest" in chunks.columns else _chunks(chunks)
+    whole = d.where(F.length("text") <= size).select(
+        "chunk_id", "digest", F.lit(0).alias("no"), F.lit(0).cast("bigint").alias("start"), F.length("text").alias("own"), F.regexp_count("text", F.lit(UNIT)).cast("bigint").alias("cost"),
+        F.lit(0).cast("bigint").alias("before"), F.lit(0).cast("bigint").alias("phase"), F.col("page_start").alias("page"), "has_table",
+    )
+    parts = _counted(_sliced(d, size, halo)).select(*(c for c in whole.columns), "total")
+    return whole.withColumn("total", F.col("cost")).unionByName(parts)
 
 
 def grid(total: int, limit: int, overlap: int = OVERLAP, slack: int = SLACK) -> tuple[int, float]:
@@ -164,8 +215,9 @@ def _find(limits: tuple[int, int], overlap: int, slack: int):
 
 
 def costs(chunks: DataFrame) -> DataFrame:
-    """chunk_id, total cost and limit of every distinct chunk; null and blank texts cost nothing."""
-    return ranges(_chunks(chunks)).groupBy("chunk_id").agg(F.first("total").alias("total"), F.max(_limit()).alias("limit"))
+    """chunk_id, total cost and limit of every distinct chunk, the dearest of its texts; null and blank texts cost
+    nothing."""
+    return ranges(chunks).groupBy("chunk_id").agg(F.max("total").alias("total"), F.max(_limit()).alias("limit"))
 
 
 def _limit(limits: tuple[int, int] = (LIMIT, TABLE_LIMIT)) -> Column:
@@ -173,14 +225,38 @@ def _limit(limits: tuple[int, int] = (LIMIT, TABLE_LIMIT)) -> Column:
 
 
 def _chunks(chunks: DataFrame) -> DataFrame:
-    """The first of each chunk_id's rows, with the columns used here; rows without id or text are left out."""
-    d = chunks.select("chunk_id", "text", "heading_path", "page_start", "page_end", "has_table").where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull())
-    return d.dropDuplicates(["chunk_id"])
+    """The columns used here, with a digest of the text; rows without id or text are left out."""
+    d = chunks.where(F.col("chunk_id").isNotNull() & F.col("text").isNotNull())
+    return d.select("chunk_id", "text", "heading_path", "page_start", "page_end", "has_table", F.xxhash64("text", F.coalesce("has_table", F.lit(False))).alias("digest"))
 
 
 def oversized(chunks: DataFrame, limits: tuple[int, int] = (LIMIT, TABLE_LIMIT)) -> DataFrame:
-    """The ranges of texts over their limit."""
-    return ranges(_chunks(chunks)).where(F.col("total") > _limit(limits))
+    """The ranges of texts over their limit. A text costs no more than its length, so shorter ones are not counted."""
+    d = _chunks(chunks)
+    return ranges(d.where(F.length("text") > _limit(limits))).where(F.col("total") > _limit(limits))
+
+
+def _bodies(chunks: DataFrame, limits: tuple[int, int]) -> DataFrame:
+    """The ranges of texts over their limit with bodies and halos, each once: those of one range straight from their
+    rows, the others joined to their counts by range. Of several texts of one chunk_id the longest is cut."""
+    size, halo = ranges.__defaults__
+    d = _chunks(chunks).where(F.length("text") > _limit(limits))
+    kept = ["chunk_id", "digest", "no", "start", "own", "before", "phase", "total", "page", "halo_left", "body", "has_table", "heading_path", "page_start", "page_end"]
+    zero = F.lit(0).cast("bigint")
+    whole = (
+        d.where(F.length("text") <= size)
+        .select(
+            "chunk_id", "digest", F.lit(0).alias("no"), zero.alias("start"), F.length("text").alias("own"), zero.alias("before"), zero.alias("phase"), F.regexp_count("text", F.lit(UNIT)).cast("bigint").alias("total"),
+            F.col("page_start").alias("page"), F.lit(0).alias("halo_left"), F.col("text").alias("body"), "has_table", "heading_path", "page_start", "page_end",
+        )
+        .where(F.col("total") > _limit(limits)).dropDuplicates(["chunk_id", "digest"])
+    )
+    sliced = _sliced(d, size, halo)
+    counts = _counted(sliced).where(F.col("total") > _limit(limits)).select(*_KEY, "before", "phase", "total", "page")
+    both = whole.unionByName(sliced.join(counts.hint("merge"), list(_KEY)).select(*kept))
+    both = checkpoint(both)
+    chosen = both.groupBy("chunk_id", "digest").agg(F.sum("own").alias("n")).groupBy("chunk_id").agg(F.max(F.struct("n", "digest")).alias("x")).select("chunk_id", F.col("x.digest").alias("digest"))
+    return both.join(chosen.hint("merge"), ["chunk_id", "digest"]).drop("digest")
 
 
 def pieces(chunks: DataFrame, limits: tuple[int, int] = (LIMIT, TABLE_LIMIT), overlap: int = OVERLAP, slack: int = SLACK) -> DataFrame:
@@ -190,9 +266,9 @@ def pieces(chunks: DataFrame, limits: tuple[int, int] = (LIMIT, TABLE_LIMIT), ov
     heading_path, page_start, page_end. Pieces cost no more than the limit, cover the text in order, and consecutive
     ones share at most ``overlap``. Pages follow the ``<!-- page: N -->`` marks inside a text; before the first they
     are the chunk's own (null if that is null). Null and blank texts and those within the limit give no pieces;
-    copies of a chunk count once; a null has_table is false.
+    copies of a chunk count once, of several texts of one chunk_id the longest is cut; a null has_table is false.
     """
-    big = oversized(chunks, limits)
+    big = checkpoint(_bodies(chunks, limits))
     found = big.select("chunk_id", "start", "halo_left", "body", "own", "before", "phase", "total", F.coalesce("has_table", F.lit(False)).alias("has_table")).mapInArrow(
         _find(limits, overlap, slack), "chunk_id string, i bigint, rank int, cut bigint, start bigint, shared int"
     )
