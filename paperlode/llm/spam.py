@@ -40,9 +40,11 @@ _LABELS = {"eng": "en", "english": "en", "deu": "de", "ger": "de", "german": "de
 _LINK = re.compile(r"<a\b[^<>]*>[^<]*</a>|\[[^\[\]\n]*\]\([^()\s]+\)|(?:https?://|www\.)[^\s<>()|,]+|(?<!\w)#[^\W\d_][\w-]*")
 _LABELLED = re.compile(r"[^\W\d_][\w'-]*(?: [^\W\d_][\w'-]*){0,4}: ?$")
 _WORD = re.compile(r"[^\W_][\w'ऀ-෿-]*")
-_TOKEN, _NUMERIC = re.compile(r"(?<!\S)[^\w\s]*\w"), re.compile(r"(?<!\S)[^\s\d]*\d")
-_SEPARATOR = re.compile(r"[,;|/>•·»]|(?<=\s)-(?=\s)|\t+")
-_ITEM = re.compile(r"[,;|/>•·»:]|(?<=\s)-(?=\s)|\t+|[.!?।]+(?:\s|$)")
+_NUMERIC = re.compile(r"(?<!\S)[^\s\d]*\d")
+# What separates the items of a list, and what ends a sentence.
+_SEPARATORS = ",;|/>•·»\t"
+_CUT = str.maketrans(dict.fromkeys(_SEPARATORS + ":", "\n"))
+_STOPS = (" - ", ". ", "! ", "? ", "। ")
 # What begins a row of product codes, and a row of tags.
 _CODES = re.compile(r"^(?:SKU|EAN|UPC|ASIN|MPN)s?[:#]?(?:[\s,;|]+[A-Z]*-?\d[\w-]*){3,}$")
 _TAGS = re.compile(r"^(?:Tags?|Keywords?|Labels?|Categories|Topics)\s*:", re.I)
@@ -99,6 +101,14 @@ def _tags(line: str) -> bool:
     return len(items) >= 4 and all(i and i.count(" ") < PHRASE and not any(c.isdigit() for c in i) for i in items)
 
 
+def _items(text: str) -> list[str]:
+    """The items of a lower-case text: what stands between separators, line ends and ends of sentences."""
+    text = text.translate(_CUT)
+    for stop in _STOPS:
+        text = text.replace(stop, "\n")
+    return [i for x in text.split("\n") if (i := x.strip(" .!?।"))]
+
+
 def _parts(text: str) -> Iterator[list[tuple[str, int, str]]]:
     """The paragraphs of a text (between blank lines) as parts: (kind, characters, text); link items, hashtags, rows of
     product codes and trails of tags are ``link``, all else is ``text``."""
@@ -148,7 +158,7 @@ def segments(text: str | None, label: str | None = None) -> tuple[str, list[tupl
     for p in paragraphs:
         for kind, _, t in p:
             if kind == "text":
-                items.update(i for x in _ITEM.split(t) if (i := x.strip().lower()))
+                items.update(_items(t.lower()))
     often = {i for i, n in items.items() if n >= REPEATED and i.count(" ") < PHRASE and not i.isdigit()}
     out: list[tuple[float, ...]] = []
 
@@ -162,15 +172,15 @@ def segments(text: str | None, label: str | None = None) -> tuple[str, list[tupl
             if kind == "link":
                 runs.append([])
                 continue
-            runs[-1] += _WORD.findall(t.lower())
-            seps += len(_SEPARATOR.findall(t))
-            tokens += len(_TOKEN.findall(t))
+            low = t.lower()
+            runs[-1] += _WORD.findall(low)
+            seps += sum(map(t.count, _SEPARATORS)) + t.count(" - ")
+            tokens += t.count(" ") + 1 - t.count("| ")
             digits += len(_NUMERIC.findall(t))
             if often:
-                for x in _ITEM.split(t):
-                    if i := x.strip().lower():
-                        bare += len(i)
-                        dup += len(i) if i in often else 0
+                for i in _items(low):
+                    bare += len(i)
+                    dup += len(i) if i in often else 0
         words = [w for r in runs for w in r]
         n = max(1, len(words))
         covered = 0
@@ -186,7 +196,7 @@ def segments(text: str | None, label: str | None = None) -> tuple[str, list[tupl
         known = sum(c for w, c in counts.items() if w in (function or _ANY))
         content = sorted((c for w, c in counts.items() if w not in function and not w[0].isdigit()), reverse=True)
         top = sum(content[:TOPS]) if n >= 2 * TOPS else 0
-        out.append((float(size), top / n, covered / n, dup / max(1, bare), linked / max(1, size), min(1.0, seps / n), known / n, digits / max(1, tokens)))
+        out.append((float(size), top / n, covered / n, dup / max(1, bare), linked / max(1, size), min(1.0, seps / n), known / n, min(1.0, digits / max(1, tokens))))
 
     for p in paragraphs:
         group: list[tuple[str, int, str]] = []
