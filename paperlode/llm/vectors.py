@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from paperlode.session import checkpoint, spread
 
-#: Hash tables; axes a vector tries per hash (its nearest and the next).
+#: Hash tables where a table joins one hash, doubled with each further hash; axes a vector tries per hash (its nearest
+#: and the next).
 TABLES, AXES = 4, 2
 #: Vectors wanted in a bucket; the number of hashes a table joins follows from it and the number of classes.
 BUCKET = 1024
@@ -83,8 +84,15 @@ def _keys():
     return run
 
 
+def tables_for(hashes: int) -> int:
+    """Tables for so many hashes a table: a longer key parts near vectors more often, so more tables make up for it."""
+    return TABLES << (hashes - 1)
+
+
 def _hash(hashes: int):
-    """The buckets of each class, as one list: for every table its own bucket, then those it probes."""
+    """The buckets of each class, as one list: for every table its own bucket, then those it probes. With no hashes
+    all vectors of a length share one bucket."""
+    tables = tables_for(hashes) if hashes else 1
     schema = pa.schema([("rid", pa.int64()), ("raw", pa.binary()), ("buckets", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +105,12 @@ def _hash(hashes: int):
                 dim = int(width) // 4
                 x = _units(np.frombuffer(b"".join(raws[i] for i in at), dtype=np.float32).reshape(len(at), dim))
                 if dim not in turns:
-                    turns[dim] = rotations(dim, TABLES * hashes)
+                    turns[dim] = rotations(dim, max(1, tables * hashes))
                 base = np.int64(2 * turns[dim][0].shape[1])
                 columns = []
-                for t in range(TABLES):
+                for t in range(tables):
                     codes = [axes(x, turns[dim][t * hashes + k]).astype(np.int64) for k in range(hashes)]
-                    home = sum((c[:, 0] * base**k for k, c in enumerate(codes)), np.int64(dim) << 40)
+                    home = sum((c[:, 0] * base**k for k, c in enumerate(codes)), np.full(len(at), np.int64(dim) << 40))
                     columns += [home] + [home + (c[:, p] - c[:, 0]) * base**k for k, c in enumerate(codes) for p in range(1, c.shape[1])]
                 flat = np.stack(columns, axis=1)
                 offsets = np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)
@@ -153,13 +161,14 @@ def _rank(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, exact: bool = False) -> DataFrame:
     """For every usable vector its k most similar others: vec_id, hit_rank, hit_vec_id, similarity (cosine).
 
     In: vec_id, embedding; further columns are ignored. Null and all-zero embeddings, embeddings with null or
     non-finite values and null ids take no part; vectors are compared only with those of their length. Similarities
     equal to 12 decimals are ties, won by the smaller id. A repeated vec_id with one embedding counts once. The
-    similarity is exact; a neighbour is missed only if no table joins the two (recall is measured in the tests).
+    similarity is exact; a neighbour is missed only if no table joins the two (recall is measured in the tests). For
+    collections without near neighbours, where hashing finds few, ``exact`` compares all rows with all, block by block.
     Fewer than k neighbours come out where there are fewer vectors. Empty tables give no rows.
     """
     spark = vectors.sparkSession
@@ -170,7 +179,7 @@ def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
         first.groupBy("key").agg(F.min("vec_id").alias("rid"), F.array_sort(F.collect_set("vec_id")).alias("members"), F.min(F.when(F.col("n") == 1, F.col("raw"))).alias("raw"))
     )
     total = classes.count()
-    hashes = max(1, math.ceil(math.log(max(2, total / BUCKET)) / math.log(128)))
+    hashes = 0 if exact else max(1, math.ceil(math.log(max(2, total / BUCKET)) / math.log(128)))
     tries = 1 + hashes * (AXES - 1)
     coded = checkpoint(classes.select("rid", "raw").repartition(spread(spark)).mapInArrow(_hash(hashes), "rid bigint, raw binary, buckets array<bigint>"))
 
@@ -203,12 +212,13 @@ def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
     best = best.withColumn("n", F.row_number().over(by_sim)).where(F.col("n") <= k).drop("n")
     # classes become vectors: each candidate class gives its first members, the own class its others
     members = classes.select(F.col("rid").alias("cid"), "members")
-    spelled = best.join(members, "cid").select("rid", F.explode(F.transform("members", lambda v: F.struct((-F.col("sim")).alias("far"), v.alias("id")))).alias("x"))
+    spelled = best.join(members.hint("merge"), "cid").select("rid", F.explode(F.transform("members", lambda v: F.struct((-F.col("sim")).alias("far"), v.alias("id")))).alias("x"))
     own = classes.select("rid", F.explode(F.transform("members", lambda v: F.struct(F.lit(-1.0).alias("far"), v.alias("id")))).alias("x"))
     lists = spelled.unionByName(own).groupBy("rid").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k + 1).alias("found"))
     return (
         usable.select("vec_id", "key").distinct()
-        .join(classes.select("key", "rid").join(lists, "rid").select("key", "found"), "key")
+        # the side of the vectors may be skewed by copies of one; a sort-merge join lets its partitions be split
+        .join(classes.select("key", "rid").join(lists.hint("merge"), "rid").select("key", "found").hint("merge"), "key")
         .select("vec_id", F.slice(F.filter("found", lambda x: x["id"] != F.col("vec_id")), 1, k).alias("found"))
         .select("vec_id", F.posexplode("found").alias("hit_rank", "x"))
         .select("vec_id", (F.col("hit_rank") + 1).alias("hit_rank"), F.col("x.id").alias("hit_vec_id"), (-F.col("x.far")).alias("similarity"))
