@@ -1,14 +1,17 @@
 """Page text as lines, blocks and chunks.
 
-Lines and blocks are window expressions. Chunk packing is a greedy fold whose every step depends on the one before, so
-it runs as Python over one document's blocks at a time (``mapInPandas`` on clustered blocks, bounded by a document).
+Lines and blocks are window expressions. Chunk packing is a greedy fold whose every step depends on the one before: it
+runs over the ordered blocks of a partition as a chain of generators (``mapInArrow``) that holds one chunk at a time,
+so a document may have any number of blocks.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -92,121 +95,125 @@ def cost(text: str) -> int:
     return len(_UNITS.findall(text))
 
 
+def fill(prices: Iterable[int], room: int) -> list[int]:
+    """Packs of items in order, each as full as ``room`` allows: the number of every item's pack."""
+    packs: list[int] = []
+    used = 0
+    for price in prices:
+        used += price
+        if packs and used > room:
+            packs.append(packs[-1] + 1)
+            used = price
+        else:
+            packs.append(packs[-1] if packs else 0)
+    return packs
+
+
+def _joined(items: list[str], packs: list[int], by: str) -> list[str]:
+    return [by.join(x for _, x in g) for _, g in groupby(zip(packs, items, strict=True), key=itemgetter(0))]
+
+
 def split_table(text: str, limit: int) -> list[str]:
     """Rows packed under the limit, the header (through the first rule of the first four lines) on each."""
     rows = text.split("\n")
-    top = next((i + 1 for i, r in enumerate(rows[:4]) if _RULE.match(r.strip())), 0)
-    head, body = rows[:top], rows[top:]
-    room = max(limit - cost("\n".join(head)), 1)
-    packs: list[list[str]] = [[]]
-    used = 0
-    for r in body:
-        price = cost(r) + 1
-        if packs[-1] and used + price > room:
-            packs.append([])
-            used = 0
-        packs[-1].append(r)
-        used += price
-    return ["\n".join(head + p) for p in packs]
+    rules = [i for i, r in enumerate(rows[:4], 1) if _RULE.match(r.strip())]
+    head, body = rows[: min(rules, default=0)], rows[min(rules, default=0) :]
+    packs = fill((cost(r) + 1 for r in body), max(limit - cost("\n".join(head)), 1))
+    return ["\n".join([*head, pack]) for pack in _joined(body, packs, "\n")] or ["\n".join(head)]
 
 
 def split_sentences(text: str, limit: int) -> list[str]:
     """Sentences packed under the limit; one that is longer stays whole."""
-    packs: list[str] = []
-    for s in re.split(r"(?<=[.!?])\s+", text):
-        if packs and packs[-1] and cost(f"{packs[-1]} {s}") <= limit:
-            packs[-1] = f"{packs[-1]} {s}".strip()
-        elif packs and not packs[-1]:
-            packs[-1] = s.strip()
-        else:
-            packs.append(s if packs else s.strip())
-    return [p for p in packs if p]
+    sentences = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
+    return _joined(sentences, fill(map(cost, sentences), limit), " ")
 
 
-@dataclass
-class _Open:
-    """The chunk being filled."""
+class Piece(NamedTuple):
+    """A block, or a part of one that is too large for a chunk with others; then it stands alone."""
 
-    blocks: list[tuple[str, str, int, int]] = field(default_factory=list)  # kind, text, page, level
-    path: list[str] = field(default_factory=list)
-    tokens: int = 0
+    kind: str
+    level: int
+    page: int
+    text: str
+    tokens: int
+    alone: bool = False
+    part: int = 0
 
 
-def pack(parts: list[tuple[str, str, int, int]], most: int = MAX_TOKENS, least: int = MIN_TOKENS, table_most: int = TABLE_TOKENS) -> list[dict]:
-    """Chunks of a document's blocks (kind, text, page, level) in order."""
-    done: list[dict] = []
-    crumbs: list[tuple[int, str]] = []
-    now = _Open()
-
-    def close(blocks: list[tuple[str, str, int, int]], path: list[str]) -> None:
-        if any(k != "heading" for k, *_ in blocks):
-            done.append({
-                "chunk_index": len(done), "text": "\n\n".join("#" * lv + " " + t if k == "heading" else t for k, t, _, lv in blocks), "heading_path": list(path),
-                "page_start": min(p for _, _, p, _ in blocks), "page_end": max(p for _, _, p, _ in blocks), "has_table": any(k == "table" for k, *_ in blocks),
-            })
-
-    def renew() -> None:
-        nonlocal now
-        close(now.blocks, now.path)
-        now = _Open(path=[t for _, t in crumbs])
-
-    for part in parts:
-        kind, text, page, level = part
-        price = cost(text)
-        if kind == "heading":
-            if now.tokens >= least:
-                renew()
-            crumbs = [c for c in crumbs if c[0] < level] + [(level, text)]
-            if all(k == "heading" for k, *_ in now.blocks):
-                now.path = [t for _, t in crumbs]
-            now.blocks.append(part)
-            now.tokens += price
-        elif kind == "table" and price > most:
-            pieces = [text] if price <= table_most else split_table(text, table_most)
-            if now.tokens + cost(pieces[0]) > table_most:
-                renew()
-                now.blocks = []
-            lead, path = now.blocks, now.path if now.blocks else [t for _, t in crumbs]
-            for i, piece in enumerate(pieces):
-                close([*(lead if i == 0 else []), ("table", piece, page, 0)], path)
-            now = _Open(path=[t for _, t in crumbs])
+Block = tuple[str, str, int, int, int]  # kind, text, page, level, tokens
+
+
+def _pieces(blocks: Iterable[Block], most: int, table_most: int) -> Iterator[Piece]:
+    for kind, text, page, level, tokens in blocks:
+        if kind == "heading" or tokens <= most:
+            yield Piece(kind, level, page, text, tokens)
         else:
-            if now.blocks and now.tokens + price > most:
-                renew()
-            if kind == "text" and price > most:
-                for piece in split_sentences(text, most):
-                    close([("text", piece, page, 0)], [t for _, t in crumbs])
-                continue
-            if not now.blocks:
-                now.path = [t for _, t in crumbs]
-            now.blocks.append(part)
-            now.tokens += price
-    close(now.blocks, now.path)
-    return done
+            parts = split_sentences(text, most) if kind == "text" else [text] if tokens <= table_most else split_table(text, table_most)
+            for i, t in enumerate(parts):
+                yield Piece(kind, level, page, t, cost(t), True, i)
+
+
+def _numbered(pieces: Iterable[Piece], most: int, least: int, table_most: int) -> Iterator[tuple[int, Piece]]:
+    """Every piece with the number of its chunk. A heading begins a chunk where the one before has ``least`` tokens; a
+    piece that stands alone begins one and ends it, but a table's first part may follow what leads to it if both fit
+    into ``table_most``; any other begins one where it would take the chunk over ``most``."""
+    number, held, ended = 0, 0, False
+    for p in pieces:
+        together = held + p.tokens
+        if p.kind == "heading":
+            begins = held >= least
+        elif p.alone:
+            begins = p.kind == "text" or p.part > 0 or together > table_most
+        else:
+            begins = held > 0 and together > most
+        if begins or ended:
+            number, together = number + 1, p.tokens
+        held, ended = together, p.alone
+        yield number, p
+
+
+def packed(blocks: Iterable[Block], most: int = MAX_TOKENS, least: int = MIN_TOKENS, table_most: int = TABLE_TOKENS) -> Iterator[dict]:
+    """The chunks of one document's blocks in order, holding no more than one chunk at a time. A chunk's path
+    is that over its first block that is no heading (all parts of a block share one); chunks of headings only are left
+    out."""
+    index, over = 0, []  # headings over the block at hand: level, title
+    shared: list[str] = []
+    for _, group in groupby(_numbered(_pieces(blocks, most, table_most), most, least, table_most), key=itemgetter(0)):
+        members, path = [], None
+        for _, p in group:
+            members.append(p)
+            if p.kind == "heading":
+                over = [*(t for t in over if t[0] < p.level), (p.level, p.text)]
+            elif path is None:
+                path = shared = shared if p.part else [title for _, title in over]
+        if path is None:
+            continue
+        pages = [p.page for p in members]
+        yield {
+            "chunk_index": index, "text": "\n\n".join(f"{'#' * p.level} {p.text}" if p.kind == "heading" else p.text for p in members), "heading_path": path,
+            "page_start": min(pages), "page_end": max(pages), "has_table": any(p.kind == "table" for p in members),
+        }
+        index += 1
+
+
+def pack(parts: list[tuple[str, str, int, int]], most: int = MAX_TOKENS, least: int = MIN_TOKENS, table_most: int = TABLE_TOKENS) -> list[dict]:
+    """The chunks of blocks (kind, text, page, level) given as a list."""
+    return list(packed(((kind, text, page, level, cost(text)) for kind, text, page, level in parts), most, least, table_most))
 
 
 _CHUNKS = pa.schema([
     ("doc_id", pa.string()), ("chunk_index", pa.int32()), ("text", pa.string()), ("heading_path", pa.list_(pa.string())), ("page_start", pa.int32()), ("page_end", pa.int32()), ("has_table", pa.bool_()),
 ])
+#: Chunks of a batch that goes back.
+_BATCH = 500
 
 
 def _packs(most: int, least: int, table_most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: str | None = None
-        parts: list[tuple[str, str, int, int]] = []
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"doc_id": now, **c} for c in pack(parts, most, least, table_most)], schema=_CHUNKS)
-
-        for b in batches:
-            for doc, kind, text, page, level in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if doc != now:
-                    if parts:
-                        yield out()
-                    now, parts = doc, []
-                parts.append((kind, text, page, level))
-        if parts:
-            yield out()
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        found = ({"doc_id": doc, **c} for doc, own in groupby(rows, key=itemgetter(0)) for c in packed((r[1:] for r in own), most, least, table_most))
+        while part := list(islice(found, _BATCH)):
+            yield pa.RecordBatch.from_pylist(part, schema=_CHUNKS)
 
     return run
 
@@ -215,7 +222,7 @@ def chunks(b: DataFrame, most: int = MAX_TOKENS, least: int = MIN_TOKENS, table_
     """Chunks of documents from their blocks (see :func:`blocks`): one pass over blocks in document order."""
     ordered = b.where("text <> ''").repartition(spread(b.sparkSession), "doc_id").sortWithinPartitions("doc_id", "page", "block")
     ddl = "doc_id string, chunk_index int, text string, heading_path array<string>, page_start int, page_end int, has_table boolean"
-    return ordered.select("doc_id", "kind", "text", "page", "level").mapInArrow(_packs(most, least, table_most), ddl)
+    return ordered.select("doc_id", "kind", "text", "page", "level", "tokens").mapInArrow(_packs(most, least, table_most), ddl)
 
 
 def embed_text(text: Column, path: Column, has_table: Column) -> Column:
