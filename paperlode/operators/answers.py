@@ -85,6 +85,29 @@ def return_tables(returns: DataFrame, year: str | None = None) -> DataFrame:
     return g.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x["l"]), "\n").alias("answer"))
 
 
+def bank_answers(accounts: DataFrame, debits: bool = False, credits: bool = False) -> DataFrame:
+    """doc_id and the answer of its statements: the table of accounts, and the largest rows where they are asked
+    for. ``accounts`` carry the source of their document."""
+    names = accounts.groupBy("doc_id").agg(F.min("source").alias("source"))
+    d = bank_tables(accounts.drop("source"), names)
+    for wanted, kind, title in ((debits, "largest_debits", "Largest debits"), (credits, "largest_credits", "Largest credits")):
+        if wanted:
+            more = largest_table(accounts, kind).withColumnRenamed("answer", "more")
+            d = d.join(more, "doc_id", "left").select("doc_id", F.concat("answer", F.coalesce(F.concat(F.lit(f"\n\n**{title}**\n\n"), "more"), F.lit(""))).alias("answer"))
+    return d
+
+
+def return_answers(returns: DataFrame, year: str | None = None) -> DataFrame:
+    """doc_id and the answer of its returns (of one year, if given): a table with a column for each return."""
+    r = returns.where(F.col("assessment_year") == year) if year else returns
+    years = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("assessment_year", F.lit("")).alias("y"), "return_no"))), lambda x: F.coalesce(F.nullif(x["y"], F.lit("")), F.lit("—")))
+    heads = r.groupBy("doc_id").agg(F.min("source").alias("source"), F.count(F.lit(1)).alias("n"), years.alias("years"))
+    scope = F.lit(f"AY {year}") if year else F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " return").otherwise(" returns"))
+    head = F.concat(F.lit("| | "), F.array_join(F.transform("years", lambda y: F.concat(F.lit("AY "), y)), " | "), F.lit(" |\n|---|"), F.repeat(F.lit("---|"), F.size("years")), F.lit("\n"))
+    title = F.concat(F.lit("**"), F.coalesce("source", "doc_id"), F.lit("** · "), scope, F.lit(":\n\n"))
+    return return_tables(r.drop("source")).join(heads, "doc_id").select("doc_id", F.concat(title, head, F.col("answer")).alias("answer"))
+
+
 def _named(name: str, value: Column) -> Column:
     """``name: value``, null where there is no value, so that ``concat_ws`` passes it over."""
     return F.when(value.isNotNull() & (value.cast("string") != ""), F.concat(F.lit(f"{name}: "), value.cast("string")))

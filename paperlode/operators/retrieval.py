@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperlode.functions.scalars import est_tokens, keywords, let
 from paperlode.session import checkpoint, widen
@@ -177,14 +181,51 @@ def sparse_similarity(docs: DataFrame, key: str, text: str, query: str) -> DataF
     return g.select(key, (F.col("dot") / F.sqrt("sq")).alias("similarity"))
 
 
-def hybrid(chunks: DataFrame, query: str, k: int = 5, cond: Column | None = None, key: str = "chunk_id", text: str = "text", alpha: float = ALPHA) -> DataFrame:
+class Embedder(Protocol):
+    """An embedding model: unit vectors of texts, and of a query."""
+
+    def documents(self, texts: list[str]) -> list[list[float]]: ...
+
+    def query(self, text: str) -> list[float]: ...
+
+
+def embedded(rows: DataFrame, text: str, make: Callable[[], Embedder], name: str = "embedding") -> DataFrame:
+    """Rows with the vectors of their texts; the model is made once a task. Null texts are embedded as empty ones."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for f in frames:
+            yield f.assign(**{name: list(model.documents(f[text].fillna("").tolist()))})
+
+    return rows.mapInPandas(run, schema)
+
+
+def reranked(hits: DataFrame, query: str, judge: Callable[[str, list[str]], list[float]], k: int, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """The k best of a few candidates by another model's scores of (query, texts); ties go by key."""
+    schema = T.StructType([f for f in hits.schema.fields if f.name != "score"] + [T.StructField("score", T.DoubleType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                yield f.assign(score=[float(x) for x in judge(query, f[text].fillna("").tolist())])[[c.name for c in schema]]
+
+    return hits.coalesce(1).mapInPandas(run, schema).orderBy(F.desc("score"), key).limit(k)
+
+
+def hybrid(chunks: DataFrame, query: str, k: int = 5, cond: Column | None = None, key: str = "chunk_id", text: str = "text", alpha: float = ALPHA, vector: str | None = None, query_vector: list[float] | None = None) -> DataFrame:
     """The k best of the 4k most similar rows by alpha * similarity + (1 - alpha) * BM25 / its maximum.
 
     Keyword statistics are those of the candidates; ties go by key. Nothing but the candidates leaves the first
-    stage, which is one top-k.
+    stage, which is one top-k. Similarity is that of ``vector`` to ``query_vector`` where a model has made them, else
+    that of the stand-in embeddings.
     """
     d = chunks.where(cond) if cond is not None else chunks
-    best = sparse_similarity(d, key, text, query).orderBy(F.round("similarity", 12).desc(), key).limit(k * CANDIDATES)
+    if vector:
+        similar = nearest(d, key, vector, query_vector, k * CANDIDATES).select(key, "similarity")
+    else:
+        similar = sparse_similarity(d, key, text, query)
+    best = similar.orderBy(F.round("similarity", 12).desc(), key).limit(k * CANDIDATES)
     found = checkpoint(d.join(F.broadcast(best), key))  # 4k rows, read twice
     scored = found.join(bm25(found, key, text, query), key)
     top = F.max("bm25").over(Window.partitionBy())  # at most 4k rows

@@ -32,12 +32,15 @@ def local_session(cores: str = "8", app: str = "paperlode", **conf: str) -> Spar
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the folder the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that is unset, as in tests, a temporary folder of this machine is taken.
+    Only a session of one machine that names none, as in tests, gets a temporary folder; a cluster must name one, as
+    what one machine holds is lost with it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="paperlode-"))
     return df.checkpoint(eager=True)
 

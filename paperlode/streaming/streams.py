@@ -43,17 +43,35 @@ class ThoughtFilter:
         return rest
 
 
-def filter_pieces(pieces: DataFrame) -> DataFrame:
-    """Pieces (session_id, seq, piece) of a stream as session_id, seq, shown; state is kept per session."""
+def filter_pieces(pieces: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """Pieces (session_id, seq, piece) of a stream as session_id, seq, shown; state is kept per session.
+
+    A session ends with a row whose column ``last`` is true, where there is such a column, or after ``timeout_ms``
+    without pieces; what is held back then (the beginning of a tag that never came) is shown, on the last row or with
+    a seq of -1, and its state is dropped.
+    """
+    ends = "last" in pieces.columns
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         f = ThoughtFilter(*(state.get if state.exists else ("", False)))
+        if state.hasTimedOut:
+            state.remove()
+            if rest := f.flush():
+                yield pd.DataFrame({"session_id": [key[0]], "seq": [-1], "shown": [rest]})
+            return
         rows = pd.concat(list(frames)).sort_values("seq")
-        out = pd.DataFrame({"session_id": key[0], "seq": rows.seq, "shown": [f.feed(p or "") for p in rows.piece]})
-        state.update((f.held, f.inside))
-        yield out
+        shown = [f.feed(p or "") for p in rows.piece]
+        if ends and rows["last"].fillna(False).astype(bool).any():
+            shown[-1] += f.flush()
+            state.remove()
+        else:
+            state.update((f.held, f.inside))
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
+        yield pd.DataFrame({"session_id": key[0], "seq": rows.seq, "shown": shown})
 
-    return pieces.groupBy("session_id").applyInPandasWithState(step, "session_id string, seq int, shown string", "held string, inside boolean", "append", GroupStateTimeout.NoTimeout)
+    wait = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return pieces.groupBy("session_id").applyInPandasWithState(step, "session_id string, seq int, shown string", "held string, inside boolean", "append", wait)
 
 
 def arriving(spark: SparkSession, folder: str, checkpoint: str, handle: Callable[[DataFrame, int], None], schema: str, kind: str = "json") -> StreamingQuery:
