@@ -231,3 +231,15 @@ def embed_text(text: Column, path: Column, has_table: Column) -> Column:
     body = F.when(F.coalesce(has_table, F.lit(False)), bare).otherwise(text)
     return F.when(F.size(F.coalesce(path, F.array())) > 0, F.concat(F.lit("["), F.array_join(path, " > "), F.lit("]\n"), body)).otherwise(body)
 
+
+
+def pages_of(documents: DataFrame) -> DataFrame:
+    """The pages of documents given as one text with page marks: doc_id, page_no, md. A mark holds for all lines up
+    to the next; lines before the first are on page 1. White space around a page's text goes, empty pages too."""
+    each = documents.select("doc_id", F.posexplode(F.split("markdown", "\n")).alias("pos", "raw"))
+    mark = F.regexp_extract(F.trim("raw"), PAGE_MARK, 1)
+    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    d = each.withColumn("mark", F.nullif(mark, F.lit("")).cast("int"))
+    d = d.withColumn("page_no", F.coalesce(F.last("mark", ignorenulls=True).over(order), F.lit(1))).where("mark is null")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "\n")
+    return d.groupBy("doc_id", "page_no").agg(F.regexp_replace(joined, r"^\s+|\s+\z", "").alias("md")).where("md <> ''")

@@ -76,14 +76,14 @@ def citation_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def question_intents(spark: SparkSession, d: str) -> DataFrame:
-    """What each question asks of each category of documents."""
+    """What each question asks of facts."""
     q = spark.createDataFrame(list(QUESTIONS), "q_id int, question string")
     debit, credit = answers.wants(F.col("question"))
     return q.select("q_id", answers.intent(F.col("question")).alias("intent"), debit.alias("debits"), credit.alias("credits"), answers.year_asked(F.col("question"), F.lit("2020-21")).alias("year"))
 
 
 def model_routes(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that the finance model answers for: those of the category, or without one but mostly of its sources."""
+    """The model for whole documents, by the category of their first chunk (B9 by hits: ``routes_by_hits``)."""
     c = _chunks(spark, d)
     best = c.groupBy("doc_id").agg(F.min_by("category", "chunk_index").alias("best"))
     return best.select("doc_id", F.when(F.col("best") == "finance", "finance").otherwise("general").alias("route"))
@@ -117,7 +117,7 @@ def fact_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hits_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Of the chunks with facts by source, the first three documents."""
+    """The first three documents with chunks of every source (C2 by hits: ``hits_to_facts``)."""
     from pyspark.sql import Window
 
     c = _chunks(spark, d).select("source", "doc_id").distinct()
