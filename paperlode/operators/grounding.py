@@ -15,9 +15,15 @@ def numbers(texts: DataFrame, key: str, text: str) -> DataFrame:
     return d.groupBy(key, "value").agg(F.min(F.struct("pos", "raw")).alias("x")).select(key, "value", "x.raw", "x.pos")
 
 
-def unverified(answers: DataFrame, contexts: DataFrame, key: str, text: str = "text", ignore_below: float = 10) -> DataFrame:
-    """Numbers of each answer (by key) of which the absolute value is not in its context; whole numbers under
-    ``ignore_below`` are passed over. An answer without context has all its numbers flagged."""
-    a = numbers(answers, key, text).withColumn("size", F.abs("value")).where(~((F.col("size") < ignore_below) & (F.col("size") == F.floor("size"))))
-    c = numbers(contexts, key, text).select(key, F.abs("value").alias("size")).distinct()
+def flagged(a: DataFrame, c: DataFrame, key: str, ignore_below: float = 10) -> DataFrame:
+    """Of the :func:`numbers` of answers those of which the absolute value is not among the numbers of their
+    contexts; whole numbers under ``ignore_below`` are passed over."""
+    a = a.withColumn("size", F.abs("value")).where(~((F.col("size") < ignore_below) & (F.col("size") == F.floor("size"))))
+    c = c.select(key, F.abs("value").alias("size")).distinct()
     return a.join(c, [key, "size"], "left_anti").select(key, "raw", "value", "pos")
+
+
+def unverified(answers: DataFrame, contexts: DataFrame, key: str, text: str = "text", ignore_below: float = 10) -> DataFrame:
+    """The flagged numbers of each answer (by key) given with its context; an answer without context has all its
+    numbers flagged."""
+    return flagged(numbers(answers, key, text), numbers(contexts, key, text), key, ignore_below)

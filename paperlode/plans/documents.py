@@ -91,9 +91,11 @@ def doc_numbers(spark: SparkSession, d: str) -> DataFrame:
 def unverified_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Numbers of every chunk that the chunk after it does not hold."""
     c = table(spark, d, "chunks", "chunk_id", "doc_id", "chunk_index", "text").dropDuplicates(["chunk_id"])
-    answers = c.select(F.concat_ws(":", "doc_id", F.col("chunk_index").cast("string")).alias("key"), "text")
-    contexts = c.select(F.concat_ws(":", "doc_id", (F.col("chunk_index") - 1).cast("string")).alias("key"), "text")
-    return grounding.unverified(answers, contexts, "key").select("key", "value")
+    # the numbers of every text are found once: as contexts they are the same rows under the key of the chunk before
+    n = grounding.numbers(c.select(F.struct("doc_id", "chunk_index").alias("at"), "text"), "at", "text")
+    key = lambda shift: F.concat_ws(":", "at.doc_id", (F.col("at.chunk_index") - shift).cast("string")).alias("key")
+    own, before = (n.select(key(shift), "value", "raw", "pos") for shift in (0, 1))
+    return grounding.flagged(own, before, "key").select("key", "value")
 
 
 def cells_cleaned(spark: SparkSession, d: str) -> DataFrame:

@@ -53,6 +53,39 @@ def extract(files: DataFrame, make: Callable[[], Extractor]) -> DataFrame:
     return files.select("doc_id", "path", "content").mapInArrow(run, "doc_id string, page_no int, md string, error string")
 
 
+class SecondExtractor(Protocol):
+    """Reads the given pages of a document again, by another way than the first."""
+
+    def __call__(self, content: bytes, path: str, pages: list[int]) -> list[tuple[int, str]]: ...
+
+
+def extract_in_passes(files: DataFrame, make_first: Callable[[], Extractor], make_second: Callable[[], SecondExtractor], doubtful: Callable[[str], bool]) -> DataFrame:
+    """doc_id, page_no, md, error, second: as :func:`extract`, with a second pass over the pages that are empty
+    or ``doubtful``. What the second pass does not give, or fails to, stays as the first read it."""
+    schema = pa.schema([("doc_id", pa.string()), ("page_no", pa.int32()), ("md", pa.string()), ("error", pa.string()), ("second", pa.bool_())])
+
+    def read(first: Extractor, second: SecondExtractor, doc: str, path: str, content: bytes) -> list[dict]:
+        try:
+            pages = dict(first(content, path))
+        except Exception as e:  # noqa: BLE001 - any failure of a library is the document's, not the job's
+            return [{"doc_id": doc, "page_no": None, "md": None, "error": str(e)[:200], "second": False}]
+        error, again = None, {}
+        if wanted := sorted(n for n, md in pages.items() if not (md or "").strip() or doubtful(md)):
+            try:
+                again = {n: md for n, md in second(content, path, wanted) if n in pages and (md or "").strip()}
+            except Exception as e:  # noqa: BLE001
+                error = str(e)[:200]
+        return [{"doc_id": doc, "page_no": n, "md": again.get(n, md), "error": error if n in wanted else None, "second": n in again} for n, md in pages.items()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = make_first(), make_second()
+        for b in batches:
+            for doc, path, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                yield pa.RecordBatch.from_pylist(read(first, second, doc, path, content), schema=schema)
+
+    return files.select("doc_id", "path", "content").mapInArrow(run, "doc_id string, page_no int, md string, error string, second boolean")
+
+
 def write_markdown(assembled: DataFrame, path: str) -> None:
     """One folder of text a document."""
     assembled.select("doc_id", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
