@@ -251,12 +251,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _label(m: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {f.name: [] for f in _LABELLED}
-
-            def put(*values) -> None:
-                for f, v in zip(_LABELLED, values, strict=True):
-                    out[f.name].append(v)  # noqa: B023
-
+            rows: list[tuple] = []
             for d, n, md, repeated in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 lines = md.split("\n")
                 at, seen = observe(lines, set(repeated or ()))
@@ -264,7 +259,7 @@ def _label(m: dict):
                 text = [i for i, s in zip(at, states, strict=True) if s == "body"]
                 for i, s in zip(at, states, strict=True):
                     if s != "body":
-                        put(d, n, s, i + 1, "", "")
+                        rows.append((d, n, s, i + 1, "", ""))
                 joined = ""  # what a line before has taken from this one
                 opens, hangs, hangs_at = "", "", 0
                 for k, i in enumerate(text):
@@ -282,16 +277,17 @@ def _label(m: dict):
                         if k + 1 < len(text):
                             nxt = lines[text[k + 1]].split()[0]
                             if (nxt[0].isalnum() or nxt[0] == "!") and not nxt.startswith(("#", "|")):
-                                put(d, n, "broken", i + 1, left + "\x1f" + last[-1], core(nxt))
+                                rows.append((d, n, "broken", i + 1, left + "\x1f" + last[-1], core(nxt)))
                                 joined = nxt
                                 tokens = tokens[:-1]
                         else:
                             hangs, hangs_at = left + "\x1f" + last[-1], i + 1
                             tokens = tokens[:-1]
-                    put(d, n, "words", i + 1, "\x1f".join({t.lstrip(_LEAD).rstrip(_TRAIL) for t in tokens}), "")
+                    rows.append((d, n, "words", i + 1, "\x1f".join({t.lstrip(_LEAD).rstrip(_TRAIL) for t in tokens}), ""))
                 if text:
-                    put(d, n, "page", hangs_at, opens, hangs)
-            yield pa.RecordBatch.from_pydict(out, schema=_LABELLED)
+                    rows.append((d, n, "page", hangs_at, opens, hangs))
+            columns = zip(*rows, strict=True) if rows else [()] * len(_LABELLED)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _LABELLED, strict=True)], schema=_LABELLED)
 
     return run
 
