@@ -147,79 +147,74 @@ def segments(text: str | None, label: str | None = None) -> tuple[str, list[tupl
     """
     if not text or not text.strip():
         return language(label, "", []), []
-    lowered = text.lower()
-    words_all = _WORD.findall(lowered)
+    groups = list(_windows(text))
+    words_all = [w for g in groups for _, _, words in g for w in words]
     lang = language(label, text, words_all)
     function = _FUNCTION.get(lang, frozenset())
-    pairs = Counter(pairwise(words_all))
-    repeated = {p for p, n in pairs.items() if n >= REPEATED}
-    paragraphs = list(_parts(text))
-    items: Counter = Counter()
-    for p in paragraphs:
-        for kind, _, t in p:
-            if kind == "text":
-                items.update(_items(t.lower()))
-    often = {i for i, n in items.items() if n >= REPEATED and i.count(" ") < PHRASE and not i.isdigit()}
+    repeated = {p for p, n in Counter(pairwise(words_all)).items() if n >= REPEATED}
+    items = [_items(low) for g in groups for _, low, _ in g]
+    often = {i for i, n in Counter(i for x in items for i in x).items() if n >= REPEATED and i.count(" ") < PHRASE and not i.isdigit()}
     out: list[tuple[float, ...]] = []
-
-    def close(group: list[tuple[str, int, str]]) -> None:
-        size = sum(n for _, n, _ in group)
-        linked = sum(n for kind, n, _ in group if kind == "link")
-        # neighbouring parts are one run of words, so that n-grams go over the line's end; links end a run
-        runs: list[list[str]] = [[]]
-        dup = seps = tokens = bare = digits = 0
-        for kind, _, t in group:
-            if kind == "link":
-                runs.append([])
+    at = iter(items)
+    for g in groups:
+        size = linked = dup = bare = seps = tokens = digits = covered = 0
+        counts: Counter = Counter()
+        hit, before = False, None  # n-grams go over a line's end, but not over a link
+        for n, low, words in g:
+            own = next(at)
+            size += n
+            if not low:
+                linked += n
+                hit, before = False, None
                 continue
-            low = t.lower()
-            runs[-1] += _WORD.findall(low)
-            seps += sum(map(t.count, _SEPARATORS)) + t.count(" - ")
-            tokens += t.count(" ") + 1 - t.count("| ")
-            digits += len(_NUMERIC.findall(t))
+            seps += sum(map(low.count, _SEPARATORS)) + low.count(" - ")
+            tokens += low.count(" ") + 1 - low.count("| ")
+            digits += len(_NUMERIC.findall(low))
+            counts.update(words)
             if often:
-                for i in _items(low):
-                    bare += len(i)
-                    dup += len(i) if i in often else 0
-        words = [w for r in runs for w in r]
-        n = max(1, len(words))
-        covered = 0
-        for r in runs:
-            hit = False
-            for p in pairwise(r) if repeated else ():
-                if p in repeated:
-                    covered += 1 if hit else 2
-                    hit = True
-                else:
-                    hit = False
-        counts = Counter(words)
+                bare += sum(map(len, own))
+                dup += sum(len(i) for i in own if i in often)
+            if repeated:
+                for w in words:
+                    if before is not None and (before, w) in repeated:
+                        covered += 1 if hit else 2
+                        hit = True
+                    else:
+                        hit = False
+                    before = w
+        total = sum(counts.values())
+        n = max(1, total)
         known = sum(c for w, c in counts.items() if w in (function or _ANY))
         content = sorted((c for w, c in counts.items() if w not in function and not w[0].isdigit()), reverse=True)
         top = sum(content[:TOPS]) if n >= 2 * TOPS else 0
         out.append((float(size), top / n, covered / n, dup / max(1, bare), linked / max(1, size), min(1.0, seps / n), known / n, min(1.0, digits / max(1, tokens))))
+    return lang, out
 
-    for p in paragraphs:
-        group: list[tuple[str, int, str]] = []
+
+def _windows(text: str) -> Iterator[list[tuple[int, str, list[str]]]]:
+    """The segments as lists of parts: (characters, lower-case text, words); a link has no text and no words."""
+    for p in _parts(text):
+        group: list[tuple[int, str, list[str]]] = []
         held = 0
         for kind, size, t in p:
             if kind == "link":
-                group.append((kind, size, t))
+                group.append((size, "", []))
                 held += 1
             else:
-                tokens = t.split()
+                tokens = t.lower().split()
                 for lo in range(0, len(tokens), WINDOW):
                     part = tokens[lo : lo + WINDOW]
                     if held and held + len(part) > WINDOW:
-                        close(group)
+                        yield group
                         group, held = [], 0
-                    group.append((kind, sum(map(len, part)), " ".join(part)))
+                    low = " ".join(part)
+                    group.append((len(low) - len(part) + 1, low, _WORD.findall(low)))
                     held += len(part)
             if held >= WINDOW:
-                close(group)
+                yield group
                 group, held = [], 0
         if group:
-            close(group)
-    return lang, out
+            yield group
 
 
 def prior(lang: str) -> Usual:
