@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperlode.functions.scalars import DATE_TEXT, inr, last_number, page_span, parse_amount, parse_date, squash
+from paperlode.operators.statement_rows import block_of
 from paperlode.session import checkpoint
 
 # Patterns of the printed forms.
@@ -124,28 +125,61 @@ def transactions(sl: DataFrame, as_of: date = date(2025, 12, 31)) -> DataFrame:
     within 45 days of the section's period (without one, from 2000 to the end of the year after ``as_of``). ``seq``
     orders rows by time; rows of a day keep their order, turned round where the statement runs newest first.
     """
-    order = Window.partitionBy("doc_id", "account_number").orderBy("line_no")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    keys = ["doc_id", "account_number"]
     at = lambda k: F.when(F.col(f"h.{k}").isNotNull(), F.try_element_at("cells", F.col(f"h.{k}")))
     printed = F.when(F.col("text").rlike(PERIOD_FIRST), F.struct(parse_date(F.regexp_extract("text", PERIOD_FIRST, 1)).alias("lo"), parse_date(F.regexp_extract("text", PERIOD_FIRST, 2)).alias("hi")))
-    # the first period and the last header come from one sort of the section's lines
+    # a section may hold any number of lines: headers are filled within blocks of line numbers, and what a block begins
+    # with (the last header before it, the section's first period) comes from windows over one row a block
     rows = (
-        sl.select("doc_id", "account_number", "line_no", "cells", F.when(F.col("cells").isNotNull(), header_columns(F.col("cells"))).alias("own"), printed.alias("printed"))
+        sl.select(*keys, block_of(F.col("line_no")).alias("block"), "line_no", "cells", F.when(F.col("cells").isNotNull(), header_columns(F.col("cells"))).alias("own"), printed.alias("printed"))
         .where(F.col("cells").isNotNull() | F.col("printed").isNotNull())
-        .withColumn("h", F.last("own", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("period", F.first("printed", ignorenulls=True).over(whole))
-        .where(F.col("cells").isNotNull() & F.col("own").isNull() & (F.size("cells") == F.col("h.width")))
+        .repartition(*keys, "block")
+    )
+    order = Window.partitionBy(*keys, "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    known = lambda c: F.when(F.col(c).isNotNull(), F.struct("line_no", c))
+    edges = rows.groupBy(*keys, "block").agg(F.max(known("own"))["own"].alias("last"), F.min(known("printed"))["printed"].alias("first"))
+    section = Window.partitionBy(*keys).orderBy("block")
+    carried = edges.select(
+        *keys, "block", F.last("last", ignorenulls=True).over(section.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"),
+        F.first("first", ignorenulls=True).over(section.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("period"),
+    )
+    under = (
+        rows.withColumn("h", F.last("own", ignorenulls=True).over(order))
+        .where(F.col("cells").isNotNull() & F.col("own").isNull())
+        .join(carried, [*keys, "block"])
+        .withColumn("h", F.coalesce("h", "carried"))
+        .where(F.size("cells") == F.col("h.width"))
     )
-    read = rows.select("doc_id", "account_number", "line_no", "period", parse_date(at("date")).alias("tx_date"), parse_amount(at("debit")).alias("debit"), parse_amount(at("credit")).alias("credit"), parse_amount(at("balance")).alias("balance"), F.coalesce(F.substring(at("narration"), 1, 80), F.lit("")).alias("narration"))
+    read = under.select(*keys, "line_no", "period", parse_date(at("date")).alias("tx_date"), parse_amount(at("debit")).alias("debit"), parse_amount(at("credit")).alias("credit"), parse_amount(at("balance")).alias("balance"), F.coalesce(F.substring(at("narration"), 1, 80), F.lit("")).alias("narration"))
     lo, hi = F.col("period.lo"), F.col("period.hi")
     kept = read.where(F.col("tx_date").isNotNull() & F.col("balance").isNotNull()).where(
         F.when(lo.isNotNull() & hi.isNotNull(), F.col("tx_date").between(F.date_sub(lo, 45), F.date_add(hi, 45))).otherwise(
             F.col("tx_date").between(F.lit(date(2000, 1, 1)), F.lit(date(as_of.year + 1, 12, 31)))
         )
     ).drop("period")
-    turned = F.first("tx_date").over(whole) > F.last("tx_date").over(whole)
-    key = F.when(turned, -F.col("line_no")).otherwise(F.col("line_no"))
-    return kept.withColumn("key", key).withColumn("seq", F.row_number().over(Window.partitionBy("doc_id", "account_number").orderBy("tx_date", "key"))).drop("key")
+    kept = checkpoint(kept)
+    # places in order of time: the rows of earlier days, summed over one row a day, and the place within the day
+    days = kept.groupBy(*keys, "tx_date").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line_no", "tx_date")).alias("a"), F.max(F.struct("line_no", "tx_date")).alias("z"))
+    by_day, every = Window.partitionBy(*keys).orderBy("tx_date"), Window.partitionBy(*keys)
+    placed = days.select(
+        *keys, "tx_date", F.coalesce(F.sum("n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"), (F.min("a").over(every)["tx_date"] > F.max("z").over(every)["tx_date"]).alias("turned"),
+    )
+    key = F.when(F.col("turned"), -F.col("line_no")).otherwise(F.col("line_no"))
+    within = F.row_number().over(Window.partitionBy(*keys, "tx_date").orderBy("key"))
+    return kept.join(placed, [*keys, "tx_date"]).withColumn("key", key).select(*keys, "line_no", "tx_date", "debit", "credit", "balance", "narration", (F.col("earlier") + within).cast("int").alias("seq"))
+
+
+def beside(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows with ``before`` and ``after``: the value of the row before and after each in order of line_no within its
+    keys. Neighbours are found within blocks of line numbers; over a block's edge they come from a window over one row
+    a block."""
+    d = rows.withColumn("block", block_of(F.col("line_no"))).repartition(*keys, "block")
+    order, section = Window.partitionBy(*keys, "block").orderBy("line_no"), Window.partitionBy(*keys).orderBy("block")
+    one = F.struct(value)
+    edges = d.groupBy(*keys, "block").agg(F.min(F.struct("line_no", value)).alias("a"), F.max(F.struct("line_no", value)).alias("z"))
+    outer = edges.select(*keys, "block", F.lag(F.struct(F.col(f"z.{value}").alias(value))).over(section).alias("_b"), F.lead(F.struct(F.col(f"a.{value}").alias(value))).over(section).alias("_a"))
+    inner = d.withColumn("_lag", F.lag(one).over(order)).withColumn("_lead", F.lead(one).over(order)).join(outer, [*keys, "block"])
+    return inner.withColumn("before", F.coalesce("_lag", "_b")[value]).withColumn("after", F.coalesce("_lead", "_a")[value]).drop("block", "_lag", "_lead", "_a", "_b")
 
 
 def totals(tx: DataFrame) -> DataFrame:
@@ -170,14 +204,14 @@ def row_check(tx: DataFrame) -> DataFrame:
 
     Pairs whose later row has neither debit nor credit do not count; the better direction does, forward at a tie.
     """
-    order = Window.partitionBy("doc_id", "account_number").orderBy("line_no")
 
     def fits(before: Column) -> Column:
         moved = before - F.coalesce(F.abs("debit"), F.lit(0)) + F.coalesce(F.abs("credit"), F.lit(0)) - F.col("balance")
         counted = before.isNotNull() & (F.col("debit").isNotNull() | F.col("credit").isNotNull())
         return F.when(counted, (F.abs(moved) < 0.015).cast("int"))
 
-    checked = tx.select("doc_id", "account_number", fits(F.lag("balance").over(order)).alias("f"), fits(F.lead("balance").over(order)).alias("b"))
+    near = beside(tx.select("doc_id", "account_number", "line_no", "debit", "credit", "balance"), ["doc_id", "account_number"], "balance")
+    checked = near.select("doc_id", "account_number", fits(F.col("before")).alias("f"), fits(F.col("after")).alias("b"))
     g = checked.groupBy("doc_id", "account_number").agg(F.sum("f").alias("fs"), F.count("f").alias("fn"), F.sum("b").alias("bs"), F.count("b").alias("bn"))
     better = (F.col("bn") > 0) & ((F.col("fn") == 0) | (F.col("bs") * F.col("fn") > F.col("fs") * F.col("bn")))
     ok, n = F.when(better, F.col("bs")).otherwise(F.col("fs")), F.when(better, F.col("bn")).otherwise(F.col("fn"))

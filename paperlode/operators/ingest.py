@@ -106,6 +106,14 @@ def absolute_pages(results: DataFrame) -> DataFrame:
     return results.where(F.size("pages") > 0).select("doc_id", "shard_no", F.explode(shifted).alias("p")).select("doc_id", "shard_no", "p.page_no", "p.md")
 
 
+def shard_texts(results: DataFrame, whole: str) -> DataFrame:
+    """doc_id, page_no, md of shards; one that came without pages gives its text in column ``whole``, if it has any,
+    as its first page."""
+    pages = absolute_pages(results).select("doc_id", "page_no", "md")
+    rest = results.where((F.coalesce(F.size("pages"), F.lit(0)) <= 0) & (F.length(F.trim(whole)) > 0))
+    return pages.unionByName(rest.select("doc_id", F.col("page_start").alias("page_no"), F.col(whole).alias("md")))
+
+
 def shard_outcome(results: DataFrame) -> DataFrame:
     """Per document failed (no page came), partial (some shard had an error) or done; only done is cached."""
     pages = F.sum(F.when(F.size("pages") > 0, F.size("pages")).otherwise(0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Document types by category, with their labels, in order.
@@ -76,3 +76,38 @@ def tagged_chunks(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     each = sections.select("doc_id", "account_number", "page_start", F.explode(F.sequence("page_start", "page_end")).alias("page"))
     first = each.groupBy("doc_id", "page").agg(F.min(F.struct("page_start", "account_number")).alias("x")).select("doc_id", F.col("page").alias("page_start"), F.col("x.account_number").alias("section_account"))
     return chunks.join(first, ["doc_id", "page_start"], "left")
+
+
+def section_tags(chunks: DataFrame, accounts: DataFrame, returns: DataFrame) -> DataFrame:
+    """Chunks with ``account`` (bank and number), ``year`` and ``return`` (form and year) of the section that
+    holds their first page, and ``prefix``, what goes before their text for embedding. Of several sections on a page
+    the first counts; chunks without page or section have no tags and an empty prefix."""
+
+    def by_page(parts: DataFrame, value: Column, name: str) -> DataFrame:
+        each = parts.select("doc_id", F.struct("page_start", "page_end", value.alias("v")).alias("x"), F.explode(F.sequence("page_start", "page_end")).alias("page"))
+        return each.groupBy("doc_id", "page").agg(F.min("x")["v"].alias(name)).withColumnRenamed("page", "page_start")
+
+    account = by_page(accounts, F.concat_ws(" ", F.coalesce("bank", F.lit("Bank")), "account_number"), "account")
+    year = F.struct(F.col("assessment_year").alias("year"), F.concat(F.coalesce("form", F.lit("ITR")), F.lit(" AY "), F.col("assessment_year")).alias("return"))
+    filed = by_page(returns.where("assessment_year is not null"), year, "filed")
+    d = chunks.join(account, ["doc_id", "page_start"], "left").join(filed, ["doc_id", "page_start"], "left")
+    tag = F.coalesce("account", "filed.return")
+    return d.select(*(F.col(c) for c in chunks.columns), "account", "filed.year", "filed.return", F.coalesce(F.concat(F.lit("["), tag, F.lit("] ")), F.lit("")).alias("prefix"))
+
+
+def kinds_with_fallback(kinds: DataFrame, results: DataFrame) -> DataFrame:
+    """D3: doc_id, kind, n: pages of each kind, and as kind ``fallback`` those that were read a second time."""
+    again = results.select("doc_id", F.explode("fallback").alias("page")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n")).unionByName(again.select("doc_id", F.lit("fallback").alias("kind"), "n"))
+
+
+def reports(skipped: DataFrame, done: DataFrame) -> DataFrame:
+    """One report of what was skipped and what was worked on; columns one side lacks are null there."""
+    return skipped.unionByName(done, allowMissingColumns=True)
+
+
+def throughput(report: DataFrame, seconds: float) -> DataFrame:
+    """Failed files, whether all failed, pages, and pages a second (null for no time)."""
+    return report.agg(
+        F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(F.every(F.col("status") == "failed"), F.lit(False)).alias("all_failed"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"),
+    ).withColumn("pages_per_second", F.col("pages") / F.lit(seconds) if seconds > 0 else F.lit(None).cast("double"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperlode.functions.scalars import keywords
-from paperlode.operators import facts, text
+from paperlode.operators import facts, ingest, listing, text
 from paperlode.plans import documents, search, statements
 from paperlode.plans import sqltext as x
 from paperlode.tables import table
@@ -93,13 +93,34 @@ def pages_from_marks(spark: SparkSession, d: str) -> DataFrame:
     return text.pages_of(text.assemble(_all_pages(spark, d)))
 
 
+def chunk_tags(spark: SparkSession, d: str) -> DataFrame:
+    """The tags and prefix of every chunk of statements and returns, by the sections of their files."""
+    lines = _lines(spark, d)
+    parts = facts.sections(lines)
+    accounts = parts.join(facts.banks(facts.section_lines(lines, parts)), ["doc_id", "account_number"], "left")
+    pages = lines.select("doc_id", F.col("page").alias("page_start")).where("page_start is not null").distinct()
+    return listing.section_tags(pages, accounts, facts.returns(lines)).select("doc_id", "page_start", "account", "prefix")
+
+
+def kinds_and_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """D3: pages by kind of shard, and those read a second time."""
+    results = table(spark, d, "shard_results", "doc_id", "kind", "pages", "fallback")
+    return listing.kinds_with_fallback(results.select("doc_id", "kind", F.explode("pages")).select("doc_id", "kind"), results)
+
+
+def shard_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of shards by number in the file; a shard without pages gives its error text as its first page."""
+    results = table(spark, d, "shard_results", "doc_id", "shard_no", "page_start", "page_end", "pages", "error")
+    return ingest.shard_texts(results, "error").select("doc_id", "page_no", F.length("md").alias("n"))
+
+
 _BOTH = "FROM (SELECT doc_id, page_no, md FROM pages_in UNION ALL SELECT doc_id, p.page_no, p.md FROM (SELECT doc_id, unnest(pages) AS p FROM shard_results))"
 _PARTS = "doc_id, account_number"
 _STATEMENT = statements.ORACLES
 _FORMS = f"regexp_extract_all(replace(l.text, 'ITR', ' ITR'), {x.q(facts.FORM)}, 1)"
 _EVERY = "ROWS UNBOUNDED PRECEDING"
 QUERIES = {
-    f.__name__: f for f in (account_fact_fields, account_fact_largest, return_form_fields, hits_to_facts, question_documents, routes_by_hits, all_page_blocks, all_pages_assembled, pages_from_marks)
+    f.__name__: f for f in (account_fact_fields, account_fact_largest, return_form_fields, hits_to_facts, question_documents, routes_by_hits, all_page_blocks, all_pages_assembled, pages_from_marks, chunk_tags, kinds_and_fallback, shard_texts)
 }
 ORACLES = {
     "account_fact_fields": f"SELECT {_PARTS}, s.page_start, s.page_end, b.bank, h.holder, p.period, t.transactions, t.first_transaction, t.last_transaction, t.closing_balance, t.total_debits, t.total_credits FROM ({_STATEMENT['statement_sections']}) s "
@@ -118,10 +139,19 @@ ORACLES = {
     f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY shared DESC, doc_id) AS INTEGER) AS place FROM s) WHERE place <= {FIRST}",
     "routes_by_hits": "WITH c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id) AS rn FROM chunks) WHERE rn = 1), h AS (SELECT vec_id, arg_min(hit_vec_id, hit_rank) AS best FROM hits GROUP BY 1) "
     "SELECT h.vec_id, CASE WHEN c.category = 'finance' THEN 'finance' ELSE 'general' END AS route FROM h LEFT JOIN (SELECT DISTINCT vec_id, chunk_id FROM vector_store) v ON v.vec_id = h.best LEFT JOIN c USING (chunk_id)",
+    "chunk_tags": f"WITH sec AS ({_STATEMENT['statement_sections']}), bk AS ({_STATEMENT['statement_banks']}), a AS (SELECT doc_id, page_start, page_end, coalesce(bank, 'Bank') || ' ' || account_number AS v FROM sec LEFT JOIN bk USING (doc_id, account_number)), "
+    f"rs AS ({_STATEMENT['return_segments']}), ri AS ({_STATEMENT['return_identity']}), fm AS (@forms), r AS (SELECT doc_id, page_start, page_end, coalesce(form, 'ITR') || ' AY ' || assessment_year AS v FROM rs JOIN ri USING (doc_id, return_no) JOIN fm USING (doc_id, return_no) WHERE assessment_year IS NOT NULL), "
+    f"{x.LINES}, pg AS (SELECT DISTINCT doc_id, page AS page_start FROM l WHERE page IS NOT NULL), "
+    "t AS (SELECT doc_id, page_start, (SELECT arg_min(v, (a.page_start, a.page_end, v)) FROM a WHERE a.doc_id = pg.doc_id AND pg.page_start BETWEEN a.page_start AND a.page_end) AS account, (SELECT arg_min(v, (r.page_start, r.page_end, v)) FROM r WHERE r.doc_id = pg.doc_id AND pg.page_start BETWEEN r.page_start AND r.page_end) AS filed FROM pg) "
+    "SELECT doc_id, page_start, account, coalesce('[' || coalesce(account, filed) || '] ', '') AS prefix FROM t",
+    "kinds_and_fallback": "SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, kind, unnest(pages) AS p FROM shard_results) GROUP BY 1, 2 UNION ALL SELECT doc_id, 'fallback', count(*) FROM (SELECT DISTINCT doc_id, unnest(fallback) AS page FROM shard_results) GROUP BY 1",
+    "shard_texts": "SELECT doc_id, p.page_no + CASE WHEN ok THEN 0 ELSE page_start - 1 END AS page_no, length(p.md) AS n FROM (SELECT doc_id, page_start, len(list_filter(pages, lambda q: NOT (q.page_no BETWEEN page_start AND page_end))) = 0 AS ok, unnest(pages) AS p FROM shard_results) "
+    "UNION ALL SELECT doc_id, page_start, length(error) FROM shard_results WHERE coalesce(len(pages), 0) = 0 AND length(trim(error)) > 0",
     "all_page_blocks": documents.ORACLES["page_blocks"].replace("FROM pages_in", _BOTH),
     "all_pages_assembled": documents.ORACLES["markdown_assembled"].replace("FROM pages_in", _BOTH),
     "pages_from_marks": f"SELECT doc_id, page_no, regexp_replace(arg_max(md, (length(md), md)), '^\\s+|\\s+$', '', 'g') AS md {_BOTH} WHERE md IS NOT NULL GROUP BY 1, 2 HAVING regexp_replace(arg_max(md, (length(md), md)), '^\\s+|\\s+$', '', 'g') <> ''",
 }
+ORACLES["chunk_tags"] = ORACLES["chunk_tags"].replace("@forms", ORACLES["return_form_fields"])
 # Titles over a block: per level the last heading of that level, unless one of a higher level came after it.
 documents.ORACLES["heading_paths"] = (
     f"WITH b AS ({documents.ORACLES['page_blocks']}), w AS (SELECT *, "
