@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 # Document types by category, with their labels, in order.
 DOC_TYPES = (
-    ("bank_statement", "finance", "Bank statement (single or multi-bank combined)"),
+    ("bank_statement", "finance", "Bank statement"),
     ("ais", "finance", "Annual Information Statement (AIS / TIS)"),
     ("form16", "finance", "Form 16 / 16A (TDS certificate)"),
     ("form26as", "finance", "Form 26AS (tax credit statement)"),
-    ("itr", "finance", "Income tax return / ITR-V acknowledgement"),
+    ("itr", "finance", "Income tax return"),
     ("salary_slip", "finance", "Salary slip"),
-    ("invoice", "finance", "Invoice / GST bill"),
+    ("invoice", "finance", "Invoice"),
     ("annual_report", "finance", "Annual report / financial statements"),
-    ("finance_other", "finance", "Other financial document"),
-    ("sale_deed", "property", "Sale deed / title deed"),
-    ("land_record", "property", "Land record (khasra, khatauni, 7/12, jamabandi)"),
-    ("lease", "property", "Lease / rent agreement"),
+    ("finance_other", "finance", "Other finance document"),
+    ("sale_deed", "property", "Sale deed"),
+    ("land_record", "property", "Land record"),
+    ("lease", "property", "Lease"),
     ("encumbrance", "property", "Encumbrance certificate"),
     ("property_tax", "property", "Property tax receipt / assessment"),
     ("property_other", "property", "Other property document"),
